@@ -209,6 +209,7 @@ def _named(name: str):
 def _expand(url: Column, param: Column, start: Column, step: Column, count: int) -> Column:
     """``count`` addresses after ``start``, ``step`` pages apart."""
     head = F.substring_index(F.substring_index(url, "#", 1), "?", 1)
+    tail = F.when(F.contains(url, F.lit("#")), F.concat(F.lit("#"), urls.fragment(url))).otherwise("")
     pairs = urls.query_pairs(urls.query_string(url))
 
     def at(i: Column) -> Column:
@@ -216,7 +217,7 @@ def _expand(url: Column, param: Column, start: Column, step: Column, count: int)
         renumbered = F.transform(
             pairs, lambda p: F.struct(p["k"].alias("k"), F.when(p["k"] == param, page).otherwise(p["v"]).alias("v"))
         )
-        return F.concat(head, F.lit("?"), urls.encode_pairs(renumbered))
+        return F.concat(head, F.lit("?"), urls.encode_pairs(renumbered), tail)
 
     return F.transform(F.sequence(F.lit(1), F.lit(count)), at)
 

@@ -109,7 +109,7 @@ SELECT page_id, url, status_code, fetch_mode,
                    WHEN page_id % 11 = 1 THEN '<div class="g-recaptcha"></div>'
                    WHEN page_id % 11 = 2 THEN '<h2>Access denied</h2>' ELSE '' END,
               CASE WHEN page_id % 13 = 0 THEN '<form action="/login">Sign in</form>' ELSE '' END,
-              '<h1>', name, '</h1><span class="price" itemprop="price" content="', price, '">', price, ' EUR</span>', body,
+              '<h1>', name, '</h1><a class="variant-link" data-color="red" href="/products/', page_id, '?v=', page_id % 3, '">red</a><a class="variant-link" href="/products/', page_id, '?v=x">plain</a><span class="price" itemprop="price" content="', price, '">', price, ' EUR</span>', body,
               CASE WHEN page_id % 3 = 0 THEN concat('<div class="pagination"><a href="?page=1">1</a><a href="?page=2">2</a><a rel="next" href="?page=', page_id % 5 + 2, '&amp;sort=new">Next</a></div>')
                    WHEN page_id % 3 = 1 THEN '<ul class="pager"><li><a href="?page=1">1</a></li><li><a href="?page=2">2</a></li><li><a href="?page=3">3</a></li></ul>'
                    ELSE '' END,
