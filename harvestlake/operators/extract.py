@@ -34,17 +34,25 @@ def _list(v: Column, path: str = "$") -> Column:
 
 
 def _item(evidence: str, price: Column | None = None, **fields: Column) -> Column:
-    """Item struct; empty text is null except for title, currency, brand and sku."""
-    out = []
-    for name in _STRINGS[:-1]:
-        value = fields.get(name, F.lit(None).cast("string"))
-        if name in ("title", "currency", "brand", "sku"):
-            value = F.coalesce(value, F.lit(""))
-        else:
-            value = F.when(value != "", value)
-        out.append(value.alias(name))
-    price = F.lit(None).cast("double") if price is None else price
-    return F.struct(*out, price.alias("highest_price"), F.lit(evidence).alias("evidence"))
+    """Raw item struct: texts as found, the price as text."""
+    out = [fields.get(name, F.lit(None).cast("string")).cast("string").alias(name) for name in _STRINGS[:-1]]
+    price = F.lit(None).cast("string") if price is None else price
+    return F.struct(*out, price.alias("price"), F.lit(evidence).alias("evidence"))
+
+
+def _finish(raw_items: Column) -> Column:
+    """Typed items; empty text is null except for title, currency, brand and sku."""
+
+    def one(x: Column) -> Column:
+        out = []
+        for name in _STRINGS[:-1]:
+            if name in ("title", "currency", "brand", "sku"):
+                out.append(F.coalesce(x[name], F.lit("")).alias(name))
+            else:
+                out.append(F.when(x[name] != "", x[name]).alias(name))
+        return F.struct(*out, text.number_or_none(x["price"]).alias("highest_price"), x["evidence"].alias("evidence"))
+
+    return F.transform(raw_items, one)
 
 
 _ITEM_TYPE = "array<struct<" + ",".join(f"{n}:string" for n in _STRINGS[:-1]) + ",highest_price:double,evidence:string>>"
@@ -59,6 +67,24 @@ def _or(*values: Column) -> Column:
     return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
 
 
+# ---------------------------------------------------------------- parsed parts of a page
+class Page:
+    """Columns of a page whose embedded JSON has been parsed once."""
+
+    def __init__(self):
+        self.html, self.url, self.ld, self.hyd, self.body = (F.col(c) for c in ("html", "url", "_ld", "_hyd", "_body"))
+        self.is_json = F.col("_is_json")
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """Add ld+json objects, hydration object and JSON body; unused ones are pruned away."""
+    h = F.col("html")
+    staged = pages.withColumn("_is_json", H.looks_like_json(h)).withColumns(
+        {"_ld": jsonld_objects(h), "_body": F.when(F.col("_is_json"), F.try_parse_json(h))}
+    )
+    return staged.withColumn("_hyd", F.coalesce(script_json(h, "__NEXT_DATA__"), F.col("_body")))
+
+
 # ---------------------------------------------------------------- JSON in pages
 def script_json(html: Column, script_id: str = "", marker: str = "") -> Column:
     """JSON of a script found by id, else of the assignment after ``marker``; null if none parses."""
@@ -91,17 +117,12 @@ def _offer(v: Column, name: str) -> Column:
 
 def _jsonld_item(page_url: Column):
     def build(p: Column) -> Column:
-        price = F.coalesce(
-            F.when(_get(p, "$.offers.price") != "", _get(p, "$.offers.price")),
-            F.when(_get(p, "$.offers.lowPrice") != "", _get(p, "$.offers.lowPrice")),
-            F.when(_get(p, "$.offers[0].price") != "", _get(p, "$.offers[0].price")),
-            _get(p, "$.offers[0].lowPrice"),
-        )
+        price = _or(*[_get(p, path) for path in ("$.offers.price", "$.offers.lowPrice", "$.offers[0].price", "$.offers[0].lowPrice")])
         image = F.coalesce(F.try_variant_get(p, "$.image[0]", "string"), F.when(F.try_variant_get(p, "$.image", "array<variant>").isNull(), F.try_variant_get(p, "$.image", "string")))
         brand = F.coalesce(F.try_variant_get(p, "$.brand.name", "string"), F.try_variant_get(p, "$.brand", "string"))
         return _item(
             "jsonld",
-            text.number_or_none(price),
+            price,
             title=_get(p, "$.name"),
             currency=_offer(p, "priceCurrency"),
             description=_get(p, "$.description"),
@@ -115,13 +136,13 @@ def _jsonld_item(page_url: Column):
     return build
 
 
-def jsonld_items(html: Column, url: Column) -> Column:
+def jsonld_items(page: Page) -> Column:
     """Product objects and the products of item lists."""
     inner = lambda o: F.filter(F.transform(_list(o, "$.itemListElement"), lambda e: F.try_variant_get(e, "$.item", "variant")), lambda i: _type(i) == "Product")
     products = F.flatten(
-        F.transform(jsonld_objects(html), lambda o: F.when(_type(o) == "ItemList", inner(o)).when(_type(o) == "Product", F.array(o)).otherwise(_none()))
+        F.transform(page.ld, lambda o: F.when(_type(o) == "ItemList", inner(o)).when(_type(o) == "Product", F.array(o)).otherwise(_none()))
     )
-    return F.transform(products, _jsonld_item(url))
+    return _finish(F.transform(products, _jsonld_item(page.url)))
 
 
 # ---------------------------------------------------------------- tiles
@@ -141,7 +162,7 @@ def _tag_with_class(chunk: Column, tag: str, cls: str) -> Column:
 def _gtm_item(payload: Column, image: Column, product_url: Column, evidence: str) -> Column:
     return _item(
         evidence,
-        text.number_or_none(_get(payload, "$.price")),
+        _get(payload, "$.price"),
         title=_get(payload, "$.item_name"),
         currency=_or(_get(payload, "$.currency"), F.lit("GBP")),
         color=_get(payload, "$.item_colour"),
@@ -158,8 +179,9 @@ def _first_gtm(raw: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(F.trim(text.unescape(raw))), "$.ecommerce.items[0]", "variant")
 
 
-def gtm_items(html: Column, url: Column) -> Column:
+def gtm_items(page: Page) -> Column:
     """First ecommerce item of each ``data-gtm`` tile; other payloads add unseen ids."""
+    html, url = page.html, page.url
     tiles = F.transform(
         _tiles(html, "data-gtm"),
         lambda c: F.struct(
@@ -188,7 +210,7 @@ def gtm_items(html: Column, url: Column) -> Column:
     first = F.filter(F.transform(payloads, lambda v: F.try_variant_get(v, "$.ecommerce.items[0]", "variant")), lambda g: g.isNotNull())
     unseen = F.filter(first, lambda g: (_get(g, "$.item_id") == "") | ~F.array_contains(seen, _get(g, "$.item_id")))
     extra = F.transform(unseen, lambda g: _gtm_item(g, F.lit(None).cast("string"), F.lit(None).cast("string"), "gtm_text"))
-    return F.when(F.size(tiles) < F.size(payloads), F.concat(from_tiles, extra)).otherwise(from_tiles)
+    return _finish(F.when(F.size(tiles) < F.size(payloads), F.concat(from_tiles, extra)).otherwise(from_tiles))
 
 
 def _tile_item(url: Column):
@@ -211,7 +233,7 @@ def _tile_item(url: Column):
         )
         return _item(
             "tile",
-            text.number_or_none(price),
+            price,
             title=title,
             currency=F.lit("USD"),
             image_url=image,
@@ -226,7 +248,7 @@ def _impression(v: Column) -> Column:
     both = lambda name: _or(_get(v, f"$.{name}"), _get(v, f"$.product_{name}"))
     return _item(
         "tile_script",
-        text.number_or_none(both("price")),
+        both("price"),
         title=both("name"),
         currency=_or(_get(v, "$.currency"), F.lit("USD")),
         image_url=both("image"),
@@ -236,25 +258,20 @@ def _impression(v: Column) -> Column:
     )
 
 
-def tile_items(html: Column, url: Column) -> Column:
+def tile_items(page: Page) -> Column:
     """Product tiles with a product id; without any, the impression arrays of scripts."""
+    html, url = page.html, page.url
     tiles = F.transform(_tiles(html, "data-pid"), _tile_item(url))
     arrays = F.regexp_extract_all(html, F.lit(r"(?s)productImpressions\s*=\s*(\[.*?\]);"), 1)
     products = F.flatten(F.transform(arrays, lambda a: F.coalesce(F.try_variant_get(F.try_parse_json(text.unescape(a)), "$", "array<variant>"), _none())))
-    return F.when(F.size(tiles) > 0, tiles).otherwise(F.transform(products, _impression))
+    return _finish(F.when(F.size(tiles) > 0, tiles).otherwise(F.transform(products, _impression)))
 
 
 # ---------------------------------------------------------------- hydration data
 _FED = "serverSideGqlResponseFed.productPageData.search.results.products"
 
 
-def _hydration(html: Column) -> Column:
-    """Hydration object of a page, or the body itself where it is JSON."""
-    return F.coalesce(script_json(html, "__NEXT_DATA__"), F.when(H.looks_like_json(html), F.try_parse_json(html)))
-
-
-def wall_products(html: Column) -> Column:
-    v = _hydration(html)
+def wall_products(v: Column) -> Column:
     groups = F.when(
         F.try_variant_get(v, "$.props.pageProps.initialState.Wall", "variant").isNotNull(),
         _list(v, "$.props.pageProps.initialState.Wall.productGroupings"),
@@ -262,12 +279,12 @@ def wall_products(html: Column) -> Column:
     return F.flatten(F.transform(groups, lambda g: _list(g, "$.products")))
 
 
-def wall_items(html: Column, url: Column, brand: str = "") -> Column:
+def wall_items(page: Page, brand: str = "") -> Column:
     def build(p: Column) -> Column:
         parts = F.filter(F.array(_get(p, "$.copy.title"), _get(p, "$.copy.subTitle")), lambda t: t != "")
         return _item(
             "hydration_wall",
-            text.number_or_none(_get(p, "$.prices.currentPrice")),
+            _get(p, "$.prices.currentPrice"),
             title=F.array_join(parts, " - "),
             currency=_get(p, "$.prices.currency"),
             color=_get(p, "$.displayColors.colorDescription"),
@@ -278,11 +295,10 @@ def wall_items(html: Column, url: Column, brand: str = "") -> Column:
             sku=_get(p, "$.productCode"),
         )
 
-    return F.transform(wall_products(html), build)
+    return _finish(F.transform(wall_products(page.hyd), build))
 
 
-def graphql_products(html: Column) -> Column:
-    v = _hydration(html)
+def graphql_products(v: Column) -> Column:
     return F.coalesce(
         F.try_variant_get(v, "$.products", "array<variant>"),
         F.try_variant_get(v, f"$.props.pageProps.{_FED}", "array<variant>"),
@@ -291,35 +307,35 @@ def graphql_products(html: Column) -> Column:
     )
 
 
-def graphql_items(html: Column, url: Column, image_template: str = "{assetId}") -> Column:
+def graphql_items(page: Page, image_template: str = "{assetId}") -> Column:
     before, _, after = image_template.partition("{assetId}")
 
     def build(p: Column) -> Column:
         asset, seo = _get(p, "$.variants[0].mediaAssets[0].assetId"), _get(p, "$.seoPath")
         return _item(
             "hydration_graphql",
-            text.number_or_none(_get(p, "$.price.listPrice.amount")),
+            _get(p, "$.price.listPrice.amount"),
             title=_get(p, "$.title"),
             currency=_get(p, "$.price.currency"),
             color=urls.query_value(seo, "color"),
             size=_get(p, "$.variants[0].size"),
             description=_get(p, "$.description"),
             image_url=F.when(asset != "", F.concat(F.lit(before), asset, F.lit(after))),
-            product_url=F.when(seo != "", urls.resolve(url, seo)),
+            product_url=F.when(seo != "", urls.resolve(page.url, seo)),
             category_level_1=_get(p, "$.productDefinition"),
             brand=_get(p, "$.brand"),
             sku=_get(p, "$.variants[0].skuId"),
         )
 
-    return F.transform(graphql_products(html), build)
+    return _finish(F.transform(graphql_products(page.hyd), build))
 
 
 # ---------------------------------------------------------------- shop grid
-def grid_products(html: Column) -> Column:
+def grid_products(page: Page) -> Column:
     """Products of a JSON body, else of the analytics object or array in the page text."""
+    html, body = page.html, page.body
     meta = F.try_parse_json(text.unescape(F.nullif(F.regexp_extract(html, r"(?s)\.analytics\.meta\.product\s*=\s*(\{.*?\});", 1), F.lit(""))))
     in_text = F.try_parse_json(text.unescape(F.nullif(F.regexp_extract(html, r"(?s)\"products\"\s*:\s*(\[.*?\])\s*[,}]", 1), F.lit(""))))
-    body = F.when(H.looks_like_json(html), F.try_parse_json(html))
     return F.coalesce(
         F.try_variant_get(body, "$.products", "array<variant>"),
         F.when(meta.isNotNull(), F.array(meta)),
@@ -328,20 +344,20 @@ def grid_products(html: Column) -> Column:
     )
 
 
-def grid_items(html: Column, url: Column) -> Column:
-    host = urls.netloc(url)
+def grid_items(page: Page) -> Column:
+    host = urls.netloc(page.url)
 
     def option(p: Column, name: str) -> Column:
         hits = F.filter(_list(p, "$.options"), lambda o: (F.lower(_get(o, "$.name")) == name) & (_get(o, "$.values[0]") != ""))
         return _get(F.get(hits, F.lit(0)), "$.values[0]")
 
     def build(p: Column) -> Column:
-        was = text.number_or_none(_get(p, "$.variants[0].compare_at_price"))
-        now = text.number_or_none(_get(p, "$.variants[0].price"))
+        was, now = _get(p, "$.variants[0].compare_at_price"), _get(p, "$.variants[0].price")
+        higher = text.number_or_none(was) > F.coalesce(text.number_or_none(now), F.lit(0.0))
         handle = _get(p, "$.handle")
         return _item(
             "shop_grid",
-            F.when(was > F.coalesce(now, F.lit(0.0)), was).otherwise(now),
+            F.when(higher, was).otherwise(now),
             title=_get(p, "$.title"),
             currency=F.lit("USD"),
             color=option(p, "color"),
@@ -354,7 +370,7 @@ def grid_items(html: Column, url: Column) -> Column:
             sku=_get(p, "$.variants[0].sku"),
         )
 
-    return F.transform(grid_products(html), build)
+    return _finish(F.transform(grid_products(page), build))
 
 
 # ---------------------------------------------------------------- jobs
@@ -378,72 +394,61 @@ def explode_items(pages: DataFrame, items: Column) -> DataFrame:
 
 def extract_items(pages: DataFrame, strategy: str) -> DataFrame:
     """Items of one extractor over a page table."""
-    return explode_items(pages, EXTRACTORS[strategy](F.col("html"), F.col("url")))
+    return explode_items(parse_pages(pages), EXTRACTORS[strategy](Page()))
 
 
-def _detected(html: Column) -> dict[str, Column]:
+def _detected(page: Page) -> dict[str, Column]:
     """Which extractors have something to look at on a page."""
-    objects = jsonld_objects(html)
-    walked = F.flatten(F.transform(objects, lambda o: F.concat(F.array(o), F.coalesce(F.try_variant_get(o, "$['@graph']", "array<variant>"), _none()))))
-    is_json = H.looks_like_json(html)
-    body = F.when(is_json, F.try_parse_json(html))
+    html, markup = page.html, ~page.is_json
+    walked = F.flatten(F.transform(page.ld, lambda o: F.concat(F.array(o), F.coalesce(F.try_variant_get(o, "$['@graph']", "array<variant>"), _none()))))
+    has = lambda p, key: F.try_variant_get(p, f"$.{key}", "variant").isNotNull()
     grid_like = F.exists(
-        F.coalesce(F.try_variant_get(body, "$.products", "array<variant>"), _none()),
-        lambda p: F.try_variant_get(p, "$.handle", "variant").isNotNull()
-        | (F.try_variant_get(p, "$.variants", "variant").isNotNull()
-           & (F.try_variant_get(p, "$.vendor", "variant").isNotNull() | F.try_variant_get(p, "$.product_type", "variant").isNotNull())),
-    )
-    fed = F.coalesce(
-        F.try_variant_get(_hydration(html), f"$.props.pageProps.{_FED}", "array<variant>"),
-        F.try_variant_get(_hydration(html), f"$.{_FED}", "array<variant>"),
+        F.coalesce(F.try_variant_get(page.body, "$.products", "array<variant>"), _none()),
+        lambda p: has(p, "handle") | (has(p, "variants") & (has(p, "vendor") | has(p, "product_type"))),
     )
+    fed = [F.try_variant_get(page.hyd, f"$.{prefix}{_FED}", "array<variant>") for prefix in ("props.pageProps.", "")]
     return {
-        "gtm_tiles": ~is_json & html.rlike(r"(?is)<[a-z][^>]*\sdata-gtm\s*="),
+        "gtm_tiles": markup & html.rlike(r"(?is)<[a-z][^>]*\sdata-gtm\s*="),
         "jsonld_product": F.exists(walked, lambda o: _type(o) == "Product"),
         "jsonld_itemlist": F.exists(walked, lambda o: _type(o) == "ItemList"),
-        "hydration_wall": F.size(wall_products(html)) > 0,
-        "hydration_graphql": fed.isNotNull(),
-        "tiles": ~is_json & ((F.size(_tiles(html, "data-pid")) > 0) | F.contains(html, F.lit("productImpressions"))),
-        "shop_grid_text": ~is_json & (F.contains(html, F.lit(".analytics.meta.product")) | html.rlike(r"\"products\"\s*:\s*\[")),
+        "hydration_wall": F.size(wall_products(page.hyd)) > 0,
+        "hydration_graphql": F.coalesce(*fed).isNotNull(),
+        "tiles": markup & ((F.size(_tiles(html, "data-pid")) > 0) | F.contains(html, F.lit("productImpressions"))),
+        "shop_grid_text": markup & (F.contains(html, F.lit(".analytics.meta.product")) | html.rlike(r"\"products\"\s*:\s*\[")),
         "shop_grid": grid_like,
     }
 
 
-def _candidates(html: Column, url: Column) -> Column:
-    """Detected strategies of a page with item count and confidence, best first."""
-    found = _detected(html)
+_SHARED = {"jsonld_itemlist": "jsonld_product", "shop_grid_text": "shop_grid"}
+
+
+def _trial_run(pages: DataFrame) -> DataFrame:
+    """Flags, items of the flagged extractors and the ranked candidates of each page."""
+    flagged = parse_pages(pages).withColumns({f"_f_{k}": v for k, v in _detected(Page()).items()})
+    wanted: dict[str, Column] = {}
+    for name, _ in rules.STRATEGY_PRIORS:
+        owner = _SHARED.get(name, name)
+        flag = F.coalesce(F.col(f"_f_{name}"), F.lit(False))
+        wanted[owner] = wanted[owner] | flag if owner in wanted else flag
+    ran = flagged.withColumns({f"_i_{k}": F.when(w, EXTRACTORS[k](Page())).otherwise(no_items()) for k, w in wanted.items()})
     rows = []
     for order, (name, prior) in enumerate(rules.STRATEGY_PRIORS):
-        n = F.size(EXTRACTORS[name](html, url))
-        rows.append(
-            F.when(
-                found[name],
-                F.struct(F.lit(name).alias("strategy"), F.lit(prior).alias("prior"), F.lit(order).alias("ord"), n.alias("items")),
-            )
+        n = F.size(F.col(f"_i_{_SHARED.get(name, name)}"))
+        sure = F.when(n > 0, F.least(F.lit(0.98), prior + F.least(F.lit(0.18), n * 0.03))).otherwise(max(0.05, prior - 0.25))
+        row = F.struct(
+            F.when(n > 0, 0).otherwise(1).alias("empty"),
+            (-F.round(sure, 4)).alias("neg"),
+            F.lit(order).alias("ord"),
+            F.lit(name).alias("strategy"),
+            n.alias("items"),
         )
-    present = F.filter(F.array(*rows), lambda r: r.isNotNull())
-    scored = F.transform(
-        present,
-        lambda r: F.struct(
-            F.when(r["items"] > 0, 0).otherwise(1).alias("empty"),
-            (-F.round(
-                F.when(r["items"] > 0, F.least(F.lit(0.98), r["prior"] + F.least(F.lit(0.18), r["items"] * 0.03))).otherwise(
-                    F.greatest(F.lit(0.05), r["prior"] - 0.25)
-                ),
-                4,
-            )).alias("neg"),
-            r["ord"].alias("ord"),
-            r["strategy"].alias("strategy"),
-            r["items"].alias("items"),
-        ),
-    )
-    return F.array_sort(scored)
+        rows.append(F.when(F.col(f"_f_{name}"), row))
+    return ran.withColumn("_ranked", F.array_sort(F.filter(F.array(*rows), lambda r: r.isNotNull())))
 
 
 def detect_contracts(pages: DataFrame, max_candidates: int = 6) -> DataFrame:
     """Ranked extractor candidates per page with confidence after a trial run."""
-    ranked = F.slice(_candidates(F.col("html"), F.col("url")), 1, max_candidates)
-    return pages.select("page_id", F.posexplode(ranked).alias("rank", "_c")).select(
+    return _trial_run(pages).select("page_id", F.posexplode(F.slice("_ranked", 1, max_candidates)).alias("rank", "_c")).select(
         "page_id",
         (F.col("rank") + 1).alias("rank"),
         F.col("_c.strategy").alias("strategy"),
@@ -453,18 +458,29 @@ def detect_contracts(pages: DataFrame, max_candidates: int = 6) -> DataFrame:
 
 
 def with_best_contract(pages: DataFrame) -> DataFrame:
-    best = F.get(_candidates(F.col("html"), F.col("url")), F.lit(0))
-    return pages.withColumn("strategy", best["strategy"])
+    best = F.get("_ranked", F.lit(0))
+    return _trial_run(pages).select(*pages.columns, best["strategy"].alias("strategy"))
 
 
 def extract_by_contract(pages: DataFrame, strategy: str = "strategy") -> DataFrame:
     """Items by the extractor named in each row; an unknown name fails the job."""
-    name, h, u = F.col(strategy), F.col("html"), F.col("url")
+    name = F.col(strategy)
     chosen = F.when(name.isNull(), no_items())
     for key, extractor in EXTRACTORS.items():
-        chosen = chosen.when(name == key, extractor(h, u))
+        if key not in _SHARED:
+            names = [key, *[n for n, owner in _SHARED.items() if owner == key]]
+            chosen = chosen.when(name.isin(*names), extractor(Page()))
     chosen = chosen.otherwise(F.raise_error(F.concat(F.lit("unsupported extraction strategy: "), name)).cast(_ITEM_TYPE))
-    return explode_items(pages, chosen)
+    return explode_items(parse_pages(pages), chosen)
+
+
+def extract_best(pages: DataFrame) -> DataFrame:
+    """Items by the best contract of each page; the trial run's items are used as they are."""
+    ran = _trial_run(pages).withColumn("strategy", F.get("_ranked", F.lit(0))["strategy"])
+    chosen = F.when(F.col("strategy").isNull(), no_items())
+    for key in EXTRACTORS:
+        chosen = chosen.when(F.col("strategy") == key, F.col(f"_i_{_SHARED.get(key, key)}"))
+    return explode_items(ran, chosen)
 
 
 def missing_reasons(items: DataFrame, keys: tuple[str, ...] = ("page_id", "item_no")) -> DataFrame:

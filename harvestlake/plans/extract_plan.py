@@ -191,7 +191,7 @@ query("detect_contracts", f"WITH {_DETECT_CTE} SELECT page_id, rank, strategy, c
 _BEST = "SELECT e.* FROM every_item e JOIN ranked r ON e.page_id = r.page_id AND e.strategy = r.strategy AND r.rank = 1"
 _CONTRACT_SQL = f"WITH {_DETECT_CTE}, chosen AS ({_BEST}) " + ordered("SELECT * EXCLUDE (strategy) FROM chosen", "ord")
 query("extract_by_contract", _CONTRACT_SQL, PP)(
-    lambda t: X.extract_by_contract(X.with_best_contract(t("product_pages"))).withColumn("item_no", F.col("item_no").cast("bigint"))
+    lambda t: X.extract_best(t("product_pages")).withColumn("item_no", F.col("item_no").cast("bigint"))
 )
 
 _FAMILY = {"gtm_tile": "gtm_tiles", "gtm_text": "gtm_tiles", "tile": "tiles", "tile_script": "tiles_script"}
@@ -213,7 +213,7 @@ query(
         f"SELECT page_id, item_no, '{f}' AS field, {_reason(f)} AS reason FROM items WHERE coalesce(cast({f} AS varchar), '') = ''" for f in rules.ITEM_FIELDS
     ),
     PP,
-)(lambda t: X.missing_reasons(X.extract_by_contract(X.with_best_contract(t("product_pages")))).withColumn("item_no", F.col("item_no").cast("bigint")))
+)(lambda t: X.missing_reasons(X.extract_best(t("product_pages"))).withColumn("item_no", F.col("item_no").cast("bigint")))
 
 
 # ---------------------------------------------------------------- meta fields
