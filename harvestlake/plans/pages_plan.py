@@ -28,9 +28,7 @@ query(
 )
 
 _SITE_HOST = S.domain("sitemap_url")
-query(
-    "scan_sitemap_xml",
-    f"""
+_sitemap_sql = f"""
 WITH locs AS (
   SELECT sitemap_id, sitemap_url, contains(xml, '<sitemapindex') AS idx, generate_subscripts(l, 1) AS pos, unnest(l) AS raw
   FROM (SELECT *, regexp_extract_all(xml, '<loc>\\s*([^<]+?)\\s*</loc>', 1) AS l FROM sitemaps) a),
@@ -40,7 +38,10 @@ kept AS (SELECT sitemap_id, sitemap_url, idx, min(pos) AS pos, d AS url
   WHERE d <> '' AND {S.domain('d')} = {_SITE_HOST} GROUP BY ALL)
 SELECT sitemap_id, CASE WHEN idx THEN 'sitemap' ELSE 'page' END AS kind,
        row_number() OVER (PARTITION BY sitemap_id ORDER BY pos) - 1 AS loc_no, url
-FROM (SELECT sitemap_id, idx, url, min(pos) AS pos FROM kept GROUP BY ALL) k""",
+FROM (SELECT sitemap_id, idx, url, min(pos) AS pos FROM kept GROUP BY ALL) k"""
+query(
+    "scan_sitemap_xml",
+    _sitemap_sql,
     ("sitemaps",),
 )(lambda t: links.scan_sitemap_xml(t("sitemaps")).select("sitemap_id", "kind", F.col("loc_no").cast("bigint").alias("loc_no"), "url"))
 
