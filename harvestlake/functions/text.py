@@ -139,16 +139,20 @@ def image_key(u: Column) -> Column:
 
 def clean_product_images(images: Column, base: Column, required: tuple[str, ...] = ()) -> Column:
     """Resolved images without data urls and page furniture, first per media key."""
-    full = F.transform(images, lambda i: urls.product_form(i, base, keep_query=True))
 
     def wanted(i: Column) -> Column:
         low = F.lower(i)
-        ok = (i != "") & ~urls.any_contains(low, rules.PRODUCT_IMAGE_NOISE)
-        return ok & urls.any_contains(low, [r.lower() for r in required]) if required else ok
-
-    kept = F.filter(full, wanted)
-    keys = F.transform(kept, image_key)
-    return F.transform(F.array_distinct(keys), lambda k: F.element_at(kept, F.array_position(keys, k).cast("int")))
+        ok = (i != "") & ~urls.has_token(low, rules.PRODUCT_IMAGE_NOISE)
+        return ok & urls.has_token(low, [r.lower() for r in required]) if required else ok
+
+    kept = F.filter(urls.product_forms(images, base), wanted)
+    keyed = F.transform(kept, lambda i: F.struct(image_key(i).alias("k"), i.alias("u")))
+    first = F.aggregate(
+        keyed,
+        F.expr("cast(array() AS array<struct<k:string,u:string>>)"),
+        lambda acc, x: F.when(F.exists(acc, lambda a: a["k"] == x["k"]), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.transform(first, lambda x: x["u"])
 
 
 def best_srcset_url(srcset: Column) -> Column:

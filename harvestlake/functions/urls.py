@@ -187,17 +187,21 @@ def discovered_form(raw: Url, base: Column | None = None, keep_fragment: bool =
     return F.when(is_web(u), out).otherwise("")
 
 
-def discovered_forms(refs: Column, base: Column) -> Column:
-    """``discovered_form`` over an array; staged so that each step runs once per link."""
+def _split_all(refs: Column, base: Column) -> Column:
+    """Resolved and split links of an array; staged so that each step runs once per link."""
     absolute = F.transform(refs, lambda r: resolve(base, r))
-    parts = F.transform(
+    return F.transform(
         absolute,
         lambda u: F.struct(
             scheme(u).alias("s"), domain_of(u).alias("h"), _path_without_params(u).alias("p"), query_string(u).alias("q")
         ),
     )
+
+
+def discovered_forms(refs: Column, base: Column) -> Column:
+    """``discovered_form`` over an array."""
     return F.transform(
-        parts,
+        _split_all(refs, base),
         lambda x: F.when(
             x["s"].isin("http", "https") & (x["h"] != ""),
             F.concat(x["s"], F.lit("://"), x["h"], _non_empty(x["p"]), _with_query(x["q"])),
@@ -205,6 +209,25 @@ def discovered_forms(refs: Column, base: Column) -> Column:
     )
 
 
+def product_forms(refs: Column, base: Column) -> Column:
+    """``product_form`` with query over an array."""
+    tidy = F.transform(
+        _split_all(refs, base),
+        lambda x: F.struct(
+            x["s"].alias("s"),
+            x["h"].alias("h"),
+            F.when(x["p"].isin("", "/"), "/").otherwise(F.rtrim(x["p"], F.lit("/"))).alias("p"),
+            sorted_query(x["q"]).alias("q"),
+        ),
+    )
+    return F.transform(
+        tidy,
+        lambda x: F.when(
+            x["s"].isin("http", "https"), F.concat(x["s"], F.lit("://"), x["h"], x["p"], _with_query(x["q"]))
+        ).otherwise(""),
+    )
+
+
 def request_form(u: Column) -> Column:
     """Canonical request URL: sorted query, no fragment."""
     u = u if isinstance(u, Parts) else F.trim(u)

@@ -279,10 +279,10 @@ query(
 )(lambda t: R.resolve_fields(_requested(t), _known(t)))
 query(
     "field_diff",
-    f"WITH {_REQ} SELECT DISTINCT p_size AS task_id, f.field FROM part, (VALUES ('title'), ('highest_price'), ('canonical_url')) f(field) WHERE (p_size, f.field) NOT IN (SELECT (task_id, field) FROM req)",
+    f"WITH {_REQ} SELECT DISTINCT p_size AS task_id, f.field FROM part, (VALUES ('title'), ('highest_price'), ('sizes')) f(field) WHERE (p_size, f.field) NOT IN (SELECT (task_id, field) FROM req)",
 )(
     lambda t: R.field_diff(
-        t("part").select(F.col("p_size").alias("task_id"), F.explode(F.array(F.lit("title"), F.lit("highest_price"), F.lit("canonical_url"))).alias("field")).distinct(),
+        t("part").select(F.col("p_size").alias("task_id"), F.explode(F.array(F.lit("title"), F.lit("highest_price"), F.lit("sizes"))).alias("field")).distinct(),
         R.resolve_fields(_requested(t), _known(t)).select("task_id", "field"),
         ("task_id",),
     )
