@@ -439,20 +439,24 @@ s AS (SELECT *, max(ts_us - i * 900000000) OVER (PARTITION BY domain ORDER BY i
 
 
 def _lineage(t):
+    """Orders as pages: a page is discovered by its quarter and by its customer's page."""
     o = t("orders")
-    nodes = o.select((F.col("o_custkey") % 500).alias("a"), (F.col("o_orderkey") % 997).alias("b")).distinct()
-    edges = nodes.select(F.concat(F.lit("u"), "a").alias("parent"), F.concat(F.lit("u"), "b").alias("child")).where("parent <> child")
-    seeds = o.where("o_orderkey % 997 = 3").select(F.concat(F.lit("u"), F.col("o_custkey") % 500).alias("url")).distinct()
-    return FR.crawl_lineage(seeds, edges)
+    url = F.concat(F.lit("u"), "o_orderkey")
+    quarter = o.select(F.concat(F.lit("u"), F.floor(F.col("o_orderkey") / 4)).alias("parent"), url.alias("child"))
+    customer = o.where("o_orderkey > o_custkey * 3").select(F.concat(F.lit("u"), "o_custkey").alias("parent"), url.alias("child"))
+    edges = quarter.unionByName(customer)
+    seeds = edges.where("parent = child").select(F.col("child").alias("url"))
+    return FR.crawl_lineage(seeds, edges.where("parent <> child"))
 
 
 query(
     "crawl_lineage",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'u' || (o_custkey % 500) AS parent, 'u' || (o_orderkey % 997) AS child FROM orders WHERE 'u' || (o_custkey % 500) <> 'u' || (o_orderkey % 997)),
-seeds AS (SELECT DISTINCT 'u' || (o_custkey % 500) AS url FROM orders WHERE o_orderkey % 997 = 3),
-w AS (SELECT url, 0 AS depth FROM seeds UNION SELECT e.child, depth + 1 FROM w JOIN e ON e.parent = w.url WHERE depth < 12),
-d AS (SELECT url, min(depth) AS depth FROM w GROUP BY url)
-SELECT d.url, d.depth, coalesce((SELECT min(p.url) FROM e JOIN d p ON p.url = e.parent WHERE e.child = d.url AND p.depth = d.depth - 1), '') AS parent_url FROM d""",
+    """WITH RECURSIVE e0 AS (SELECT 'u' || floor(o_orderkey / 4)::bigint AS parent, 'u' || o_orderkey AS child FROM orders UNION ALL SELECT 'u' || o_custkey, 'u' || o_orderkey FROM orders WHERE o_orderkey > o_custkey * 3),
+e AS (SELECT DISTINCT * FROM e0 WHERE parent <> child), seeds AS (SELECT DISTINCT child AS url FROM e0 WHERE parent = child),
+w AS (SELECT url, 0 AS depth FROM seeds UNION SELECT e.child, depth + 1 FROM w JOIN e ON e.parent = w.url WHERE depth < 14),
+d AS (SELECT url, min(depth) AS depth FROM w GROUP BY url),
+f AS (SELECT e.child, min(e.parent) AS parent FROM e JOIN d p ON p.url = e.parent JOIN d c ON c.url = e.child AND p.depth = c.depth - 1 GROUP BY e.child)
+SELECT d.url, d.depth, coalesce(f.parent, '') AS parent_url FROM d LEFT JOIN f ON f.child = d.url""",
 )(_lineage)
 
 # ---------------------------------------------------------------- lists
