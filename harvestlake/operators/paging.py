@@ -13,7 +13,7 @@ JOB_CHUNK_US = 60 * 24 * scans.HOUR_US  # pages of a job per chunk: sixty days o
 
 def _ordered(pages: DataFrame, chunk_us: int) -> DataFrame:
     """Page facts with position, empty streak and the cursor the page was asked with."""
-    facts = pages.select("job", "page_key", "fetched_us", "url", "cursor", F.size(records.payload_items(F.col("payload"))).alias("found"))
+    facts = records.with_payload_items(pages).select("job", "page_key", "fetched_us", "url", "cursor", F.size("_items").alias("found"))
     chunk = scans.time_chunk("fetched_us", chunk_us)
     placed = scans.streak(facts, ["job"], ["fetched_us", "page_key"], chunk, F.col("found") > 0, "empties", index="pos")
     return scans.running(placed, ["job"], ["fetched_us", "page_key"], chunk, lags={"asked": F.col("cursor")})

@@ -7,10 +7,14 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
 from harvestlake import rules
 from harvestlake.functions import text, urls
+from harvestlake.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 RECORD_ORDER = ("created_us", "l_orderkey", "l_linenumber")
 
@@ -196,9 +200,8 @@ def _first(v: Column, *paths: str, skip_zero: bool = False) -> Column:
     return F.coalesce(*tries)
 
 
-def payload_items(payload: Column) -> Column:
-    """Records of a response: a top list, reddit-like children, then the listed keys."""
-    v = F.try_parse_json(payload)
+def payload_items(v: Column) -> Column:
+    """Records of a parsed response: a top list, children with data, then the listed keys."""
     none = F.expr("cast(array() AS array<variant>)")
     children = F.transform(
         F.try_variant_get(v, "$.children", "array<variant>"),
@@ -228,7 +231,7 @@ def _first_records(value):
 def _deep_items(payload: Column) -> Column:
     """Records of responses that carry them under no known key; Arrow batches."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def search(texts: pd.Series) -> pd.Series:
         def one(t):
             if not t:
@@ -243,13 +246,19 @@ def _deep_items(payload: Column) -> Column:
     return F.transform(search(payload), lambda t: F.try_parse_json(t))
 
 
+def with_payload_items(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add the records of each response as ``_items``; the text is parsed once."""
+    parsed = pages.withColumn("_parsed", F.try_parse_json(F.col(payload)))
+    return parsed.withColumn("_items", payload_items(F.col("_parsed"))).drop("_parsed")
+
+
 def scan_api_payloads(pages: DataFrame, payload: str = "payload", deep: bool = False) -> DataFrame:
     """One row per record of each response, in response order.
 
     ``deep`` also searches responses without any known key; only those reach Python.
     """
     rest = [c for c in pages.columns if c != payload]
-    found = pages.select(*rest, payload, payload_items(F.col(payload)).alias("_items"))
+    found = with_payload_items(pages, payload)
     if deep:
         tail = _deep_items(F.when(F.size("_items") == 0, F.col(payload)))
         found = found.withColumn("_deep", tail).withColumn("_items", F.when(F.size("_items") == 0, F.col("_deep")).otherwise(F.col("_items")))

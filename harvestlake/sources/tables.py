@@ -113,6 +113,8 @@ SELECT page_id, url, status_code, fetch_mode,
               CASE WHEN page_id % 3 = 0 THEN concat('<div class="pagination"><a href="?page=1">1</a><a href="?page=2">2</a><a rel="next" href="?page=', page_id % 5 + 2, '&amp;sort=new">Next</a></div>')
                    WHEN page_id % 3 = 1 THEN '<ul class="pager"><li><a href="?page=1">1</a></li><li><a href="?page=2">2</a></li><li><a href="?page=3">3</a></li></ul>'
                    ELSE '' END,
+              '<ul class="related"><li class="card"><a class="card-title" href="/p/', page_id + 1, '">Next ', name, '</a><span class="amount">EUR 12,', page_id % 90 + 10, '</span><img src="/i/n.jpg"></li>',
+              '<li class="card"><a class="card-title" href="/p/', page_id + 2, '">Also ', name, '<b>!</b></a><span class="amount">$', page_id % 50, '</span></li><li class="card selected">more</li></ul>',
               '<p>', repeat(concat(name, ' is a fine article of the ', kind, ' line. '), cast(2 + page_id % 30 AS int)), '</p></body></html>') END AS html
 FROM (SELECT *, CASE WHEN page_id % 8 = 0 THEN concat('<script type="application/ld+json">{"@context":"https://schema.org","@type":"Product","name":"', name, '","sku":"S', page_id, '","image":"https://cdn.example.com/', page_id, '.jpg","description":"Fine ', name, '","category":"', kind, '","brand":{"@type":"Brand","name":"', brand, '"},"url":"https://', host, '/products/', page_id, '","offers":{"@type":"Offer","price":"', price, '","priceCurrency":"EUR"}}</script>')
        WHEN page_id % 8 = 1 THEN concat('<script type="application/ld+json">[{"@type":"WebSite","name":"x"},{"@type":"Product","name":"', name, '","sku":"S', page_id, '","image":["https://cdn.example.com/a', page_id, '.jpg","b.jpg"],"brand":"', brand, '","offers":[{"lowPrice":', price, ',"priceCurrency":"GBP"}]}]</script>')
