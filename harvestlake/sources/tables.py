@@ -282,3 +282,15 @@ class Tables:
             rest = [c for c in view.columns if c != body]
             view = view.select(*rest, F.explode(F.array(body)).alias(body)).select(*view.columns)
         return view
+
+    def stream(self, name: str, streamed: str = "events") -> DataFrame:
+        """A base table or adapter view with one base table read as a stream of files."""
+        if name == streamed:
+            schema = self.spark.read.parquet(self.path(name)).schema
+            # a pattern matches a single file as well as a folder of files
+            return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
+        if name not in ADAPTERS:
+            return self(name)
+        for dep in set(_TOKEN.findall(ADAPTERS[name])):
+            self.stream(dep, streamed).createOrReplaceTempView(f"hl_{dep}")
+        return self.spark.sql(_TOKEN.sub(r"hl_\1", ADAPTERS[name]))
