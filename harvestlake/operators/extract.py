@@ -151,7 +151,9 @@ _TILE = r"(?i)(?=<[a-z][^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?product-tile(?:\s[^
 
 def _tiles(html: Column, attribute: str) -> Column:
     """Page text cut at each product tile; chunks whose tile has the attribute."""
-    chunks = F.slice(F.split(html, _TILE), F.lit(2), F.greatest(F.size(F.split(html, _TILE)), F.lit(1)))
+    # the leading blank keeps a tile at the very start apart from the text before it
+    cut = F.split(F.concat(F.lit(" "), html), _TILE)
+    chunks = F.filter(cut, lambda c, i: i > 0)
     return F.filter(chunks, lambda c: H.attribute(F.regexp_extract(c, r"(?s)^<[^>]*>", 0), attribute) != "")
 
 

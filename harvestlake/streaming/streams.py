@@ -70,7 +70,10 @@ def stream_crawl_sessions(log: DataFrame, gap: str = "300 seconds") -> DataFrame
 
 
 def stream_dedupe_records(rows: DataFrame, keys: list[str], delay: str = WATERMARK) -> DataFrame:
-    """First row per key; a key is remembered as long as the watermark delay."""
+    """One row per key; a key is remembered as long as the watermark delay.
+
+    Of copies inside one micro-batch any one may stay.
+    """
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
