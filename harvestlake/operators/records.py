@@ -30,7 +30,9 @@ def normalize_products(offers: DataFrame) -> DataFrame:
             "lowest_price": text.parse_lowest_price(price),
             "number_price": text.number_or_none(price),
             "first_price": text.parse_price_first(price),
+            "range_high": text.parse_price_range(price)["max"],
             "clean_price": text.clean_price(price),
+            "clean_score": text.clean_score(price),
             "description_text": text.clean_text(F.col("description")),
             "category_level_1": lv[0],
             "category_level_2": lv[1],

@@ -20,7 +20,8 @@ pr_a AS (SELECT *, [trim(x) for x in string_split(image_text, {_SEP}) if trim(x)
 pr_b AS (SELECT *, [f for f in [{S.product_abs('u', True)} for u in [{S.resolve('source_url', 'i')} for i in image_urls]] if f <> '' and not {_NOISE}] AS kept FROM pr_a),
 pr_c AS (SELECT *, [{S.domain('f')} || lower({S.path('f')}) for f in kept] AS keys FROM pr_b),
 prod AS (SELECT *, {S.price('price_text')} AS highest_price, {S.price('price_text', 'list_min')} AS lowest_price, {S.number_or_none('price_text')} AS number_price,
-  {S.first_number('price_text')} AS first_price, try_cast(regexp_replace(replace(price_text, ',', '.'), '[^\\d.]', '', 'g') AS double) AS clean_price, {S.clean_text('description')} AS description_text,
+  {S.first_number('price_text')} AS first_price, try_cast(regexp_replace(replace(price_text, ',', '.'), '[^\\d.]', '', 'g') AS double) AS clean_price,
+  try_cast(regexp_replace(price_text, '[^\\d.]', '', 'g') AS double) AS clean_score, {S.range_high('price_text')} AS range_high, {S.clean_text('description')} AS description_text,
   coalesce(lv[1], '') AS category_level_1, coalesce(lv[2], '') AS category_level_2, array_to_string(lv[3:], ' > ') AS category_level_3,
   [kept[i] for k, i in keys if list_position(keys, k) = i] AS images_clean,
   {S.dedupe_key('source_site', 'category', 'canonical_url', 'source_url', 'title')} AS dedupe_key FROM pr_c)"""
@@ -34,7 +35,7 @@ def products(t):
     return R.normalize_products(t("offers"))
 
 
-_NORM = ("dedupe_key", "highest_price", "lowest_price", "number_price", "first_price", "clean_price", "description_text", "category_level_1", "category_level_2", "category_level_3")
+_NORM = ("dedupe_key", "highest_price", "lowest_price", "number_price", "first_price", "range_high", "clean_price", "clean_score", "description_text", "category_level_1", "category_level_2", "category_level_3")
 query(
     "normalize_products",
     f"WITH {PROD} SELECT l_orderkey, l_linenumber, p_partkey, {', '.join(_NORM)}, array_to_string(image_urls, '|') AS image_urls, array_to_string(images_clean, '|') AS images_clean FROM prod",

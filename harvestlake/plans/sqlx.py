@@ -176,11 +176,20 @@ def first_number(raw):
     return f"try_cast(replace(regexp_extract({raw}, '\\d+(?:[.,]\\d+)?', 0), ',', '.') AS double)"
 
 
-def number_or_none(raw):
-    rng = "[£$€¥￥]?\\s*(\\d+(?:[.,]\\d+)?)\\s*(?:-|–|—|~|to)\\s*[£$€¥￥]?\\s*(\\d+(?:[.,]\\d+)?)"
+_RANGE = "[£$€¥￥]?\\s*(\\d+(?:[.,]\\d+)?)\\s*(?:-|–|—|~|to)\\s*[£$€¥￥]?\\s*(\\d+(?:[.,]\\d+)?)"
+
+
+def _range_end(raw, i):
+    return f"try_cast(replace(regexp_extract({raw}, {lit(_RANGE)}, {i}), ',', '.') AS double)"
+
 
+def range_high(raw):
+    return f"greatest({_range_end(raw, 1)}, {_range_end(raw, 2)})"
+
+
+def number_or_none(raw):
     def num(i):
-        return f"try_cast(replace(regexp_extract({raw}, {lit(rng)}, {i}), ',', '.') AS double)"
+        return _range_end(raw, i)
 
     return f"coalesce(least({num(1)}, {num(2)}), try_cast(replace(regexp_extract({raw}, '-?\\d+(?:[.,]\\d+)?', 0), ',', '.') AS double))"
 
