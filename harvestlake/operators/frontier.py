@@ -21,7 +21,7 @@ def frontier_rows(candidates: DataFrame, url: str = "url") -> DataFrame:
 
 def frontier_add(candidates: DataFrame, known: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """New frontier rows: first candidate of each hash that is not known yet."""
-    valid = frontier_rows(candidates).where(F.col("frontier_url").isNotNull())
+    valid = frontier_rows(candidates.where(urls.is_web(F.trim(F.col("url")))))
     rest = [c for c in valid.columns if c != "url_hash"]
     first = valid.groupBy("url_hash").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
     fresh = first.join(known.select("url_hash"), "url_hash", "left_anti")
@@ -43,7 +43,7 @@ def frontier_add_counts(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 def resume_pending(seeds: DataFrame, done: DataFrame) -> DataFrame:
     """Seeds still to be fetched after a pause."""
-    first = frontier_rows(seeds).where(F.col("frontier_url").isNotNull()).select("url_hash", "frontier_url").distinct()
+    first = frontier_rows(seeds.where(urls.is_web(F.trim(F.col("url"))))).select("url_hash", "frontier_url").distinct()
     return first.join(frontier_rows(done).select("url_hash"), "url_hash", "left_anti")
 
 

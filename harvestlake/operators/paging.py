@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from harvestlake.operators import records, scans
+from harvestlake.session import materialize
 
 JOB_CHUNK_US = 60 * 24 * scans.HOUR_US  # pages of a job per chunk: sixty days of fetch time
 
@@ -25,7 +26,8 @@ def paged_assembly(pages: DataFrame, max_items: int = 0, empty_pages: int = 2, c
     A page is not read if enough items are there or its address was read before; reading
     ends after a page that completes the empty streak, repeats its cursor or names none.
     """
-    ordered = _ordered(pages, chunk_us)
+    # page facts feed four joins; written once, the payloads are not parsed again for each
+    ordered = materialize(_ordered(pages, chunk_us), "paged-facts")
     first_url = ordered.groupBy("job", "url").agg(F.min("pos").alias("first_pos"))
     items = records.normalize_api_records(records.scan_api_payloads(pages.select("job", "page_key", "payload")))
     placed = items.join(ordered.select("job", "page_key", "pos"), ["job", "page_key"])

@@ -211,10 +211,10 @@ def payload_items(v: Column) -> Column:
     )
     tries = [F.try_variant_get(v, "$", "array<variant>"), F.when(F.size(children) > 0, children)]
     for key in rules.ITEM_LIST_KEYS:
+        inner = [F.try_variant_get(v, f"$.{key}.{k}", "array<variant>") for k in rules.ITEM_LIST_KEYS]
+        nested = F.coalesce(*[F.when(F.size(x) > 0, x) for x in inner])
         tries.append(F.try_variant_get(v, f"$.{key}", "array<variant>"))
-        for inner in rules.ITEM_LIST_KEYS:
-            nested = F.try_variant_get(v, f"$.{key}.{inner}", "array<variant>")
-            tries.append(F.when(F.size(nested) > 0, nested))
+        tries.append(F.when(F.try_variant_get(v, f"$.{key}", "map<string,variant>").isNotNull(), nested))
     return F.filter(F.coalesce(*tries, none), lambda i: F.try_variant_get(i, "$", "map<string,variant>").isNotNull())
 
 

@@ -18,7 +18,7 @@ BASE = (
 ).split()
 
 ADAPTERS: dict[str, str] = {}
-BODIES = {"product_pages": "html", "api_pages": "payload", "menus": "menu_json", "sitemaps": "xml"}
+BODIES = {"product_pages": "html", "api_pages": "payload", "menus": "menu_json", "sitemaps": "xml", "captured_calls": "url"}
 
 # one request per event
 ADAPTERS["fetch_log"] = """
