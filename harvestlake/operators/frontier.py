@@ -207,9 +207,9 @@ def retry_decision(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"should_retry": again, "wait_s": F.round(delay, 3), "retry_reason": reason})
 
 
-def politeness_schedule(requests: DataFrame, delay_us: Column, key: str = "domain") -> DataFrame:
+def politeness_schedule(requests: DataFrame, delay_us: Column, key: str = "domain", chunk_us: int = scans.HOUR_US) -> DataFrame:
     """Start of each request when a domain is asked no faster than once per delay."""
-    out = scans.spaced_starts(requests, [key], ["ts_us", "request_id"], scans.time_chunk(), "ts_us", delay_us, "start_us")
+    out = scans.spaced_starts(requests, [key], ["ts_us", "request_id"], scans.time_chunk("ts_us", chunk_us), "ts_us", delay_us, "start_us")
     return out.withColumn("wait_us", F.col("start_us") - F.col("ts_us"))
 
 

@@ -339,23 +339,24 @@ def repair_delta(before: DataFrame, after: DataFrame, diagnoses: DataFrame) -> D
 
 
 # ---------------------------------------------------------------- endpoints
-def endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_FAILURES) -> DataFrame:
+def endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_FAILURES, chunk_us: int = scans.HOUR_US) -> DataFrame:
     """Failure count and cooldown end of an endpoint after each request.
 
     A success clears both; from the ``after``-th failure in a row the wait doubles up to its
     cap.  Time and wait only grow inside such a run, so the latest end is also the largest.
+    ``chunk_us`` bounds what one task sees of a busy endpoint.
     """
     rows = log.select("endpoint", "request_id", "ts_us", "ok")
-    counted = scans.streak(rows, ["endpoint"], ["ts_us", "request_id"], scans.time_chunk(), F.col("ok"), "failures")
+    counted = scans.streak(rows, ["endpoint"], ["ts_us", "request_id"], scans.time_chunk("ts_us", chunk_us), F.col("ok"), "failures")
     wait = F.least(rules.COOLDOWN_BASE_SECONDS * F.pow(F.lit(2), F.least(F.col("failures") - after, F.lit(30))), F.lit(rules.COOLDOWN_MAX_SECONDS))
     until = F.when(F.col("failures") >= after, F.col("ts_us") + (wait * 1000000).cast("bigint")).otherwise(0)
     return counted.withColumn("cooldown_until_us", until)
 
 
-def endpoint_state(log: DataFrame) -> DataFrame:
+def endpoint_state(log: DataFrame, chunk_us: int = scans.HOUR_US) -> DataFrame:
     """Latest health record of each endpoint."""
     last = F.struct("ts_us", "request_id")
-    ends = endpoint_cooldown(log).groupBy("endpoint").agg(
+    ends = endpoint_cooldown(log, chunk_us=chunk_us).groupBy("endpoint").agg(
         F.max_by(F.struct("failures", "cooldown_until_us"), last).alias("_l"), F.max("ts_us").alias("last_used_us"), F.count_if("ok").alias("success_count")
     )
     return ends.select("endpoint", "success_count", F.col("_l.failures").alias("failure_count"), F.col("_l.cooldown_until_us").alias("cooldown_until_us"), "last_used_us")
@@ -388,10 +389,10 @@ def _health_counts() -> dict[str, Column]:
     }
 
 
-def profile_health_score(log: DataFrame, window_s: int = 300) -> DataFrame:
+def profile_health_score(log: DataFrame, window_s: int = 300, bucket_us: int = scans.HOUR_US) -> DataFrame:
     """Health of an endpoint over the last seconds of event time, after each request."""
     rows = log.select("endpoint", "request_id", "ts_us", "ok", "failure_category")
-    seen = scans.sliding(rows, ["endpoint"], "ts_us", window_s * 1_000_000, _health_counts(), bucket_us=24 * scans.HOUR_US)
+    seen = scans.sliding(rows, ["endpoint"], "ts_us", window_s * 1_000_000, _health_counts(), bucket_us=bucket_us)
     score = _health(*[F.col(c) for c in ("w_ok", "w_total", "w_timeouts", "w_challenges", "w_blocked")])
     return seen.select("endpoint", "request_id", "ts_us", F.col("w_total").alias("window_requests"), score.alias("health_score"))
 

@@ -128,17 +128,18 @@ def sliding(
 def value_at_rank(df: DataFrame, keys: list[str], value: str, rank: Column, width: float, name: str) -> DataFrame:
     """Exact order statistic per group: the value at 0-based ``rank(n)`` of the sorted values.
 
-    ``rank`` is an expression over the column ``n`` (group size).  Values are first counted
-    in bands of ``width``; only the band that holds the rank is sorted.
+    ``rank`` is an expression over the column ``n`` (group size).  Equal values are counted
+    first, so a value that fills a group is one row; bands of ``width`` are then summed up
+    and only the band that holds the rank is sorted.
     """
     band = F.floor(F.col(value) / F.lit(width)).cast("bigint")
-    rows = df.select(*keys, F.col(value).alias("_v"), band.alias("_band"))
-    bands = rows.groupBy(*keys, "_band").agg(F.count("*").alias("_c"))
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"), F.max(band).alias("_band"))
+    bands = counted.groupBy(*keys, "_band").agg(F.sum("_c").alias("_bc"))
     by_band = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(*keys)
-    placed = bands.select("*", F.sum("_c").over(by_band).alias("_upto"), F.sum("_c").over(everything).alias("n")).withColumn("_r", rank)
-    hit = placed.where((F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_c") <= F.col("_r"))).select(
-        *keys, "_band", (F.col("_r") - (F.col("_upto") - F.col("_c"))).alias("_k")
+    placed = bands.select("*", F.sum("_bc").over(by_band).alias("_upto"), F.sum("_bc").over(W.partitionBy(*keys)).alias("n")).withColumn("_r", rank)
+    hit = placed.where((F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_bc") <= F.col("_r"))).select(
+        *keys, "_band", (F.col("_r") - (F.col("_upto") - F.col("_bc"))).alias("_k")
     )
-    inside = rows.join(hit, [*keys, "_band"]).withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_band").orderBy("_v")) - 1)
-    return inside.where(F.col("_rn") == F.col("_k")).select(*keys, F.col("_v").alias(name))
+    in_band = W.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    inside = counted.join(hit, [*keys, "_band"]).withColumn("_sum", F.sum("_c").over(in_band))
+    return inside.where((F.col("_sum") > F.col("_k")) & (F.col("_sum") - F.col("_c") <= F.col("_k"))).select(*keys, F.col("_v").alias(name))

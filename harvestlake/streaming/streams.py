@@ -22,6 +22,7 @@ from harvestlake.session import fresh_path, ship_with_tasks
 ship_with_tasks(__name__)
 
 WATERMARK = "10 minutes"
+_SLOW_MS = rules.PRESSURE["latency_warn_ms"]  # plain number: the step below runs in workers
 
 
 def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
@@ -79,10 +80,13 @@ def stream_dedupe_records(rows: DataFrame, keys: list[str], delay: str = WATERMA
 
 # ---------------------------------------------------------------- carried state
 class StateTable:
-    """Small keyed table carried from one micro-batch to the next."""
+    """Small keyed table carried from one micro-batch to the next.
 
-    def __init__(self, spark: SparkSession, label: str, schema: str):
-        self.spark, self.schema, self.path = spark, schema, fresh_path(spark, label)
+    Give the same path as before to go on from a checkpoint after a restart.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: str, path: str | None = None):
+        self.spark, self.schema, self.path = spark, schema, path or fresh_path(spark, label)
 
     def before(self, batch: int) -> DataFrame:
         """State left by the batch before, empty for the first."""
@@ -95,7 +99,7 @@ class StateTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch}")
 
 
-def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_FAILURES) -> DataFrame:
+def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_FAILURES, state_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Failure count and cooldown end per endpoint, carried across micro-batches.
 
     A micro-batch is folded to one row per endpoint by the chunked scan before it meets
@@ -103,7 +107,7 @@ def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_F
     """
     spark = log.sparkSession
     schema = "endpoint string, failures long, cooldown_until_us long, last_us long, success_count long"
-    state = StateTable(spark, "cooldown-state", schema)
+    state = StateTable(spark, "cooldown-state", schema, state_path)
     seen = {"batch": -1}
 
     def handle(df: DataFrame, batch: int) -> None:
@@ -126,15 +130,15 @@ def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_F
         )
         seen["batch"] = batch
 
-    run_batches(log, "cooldown", handle)
+    run_batches(log, "cooldown", handle, checkpoint)
     return state.before(seen["batch"] + 1)
 
 
-def stream_supervisor(batches: DataFrame) -> DataFrame:
+def stream_supervisor(batches: DataFrame, state_path: str | None = None, out_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Advice per work batch, with the zero-yield streak carried across micro-batches."""
     spark = batches.sparkSession
-    out = fresh_path(spark, "decisions")
-    state = StateTable(spark, "supervisor-state", "run_id string, carried long")
+    out = out_path or fresh_path(spark, "decisions")
+    state = StateTable(spark, "supervisor-state", "run_id string, carried long", state_path)
     schema = {"value": None}
 
     def handle(df: DataFrame, batch: int) -> None:
@@ -153,7 +157,7 @@ def stream_supervisor(batches: DataFrame) -> DataFrame:
         last = spark.read.parquet(f"{out}/micro_batch={batch}").groupBy("run_id").agg(F.max_by("zero_streak", "batch_id").alias("now"))
         state.after(batch, held.join(last, "run_id", "full").select("run_id", F.coalesce("now", "carried").alias("carried")))
 
-    run_batches(batches, "supervisor", handle)
+    run_batches(batches, "supervisor", handle, checkpoint)
     return spark.read.schema(schema["value"]).parquet(out)
 
 
@@ -166,7 +170,7 @@ def _pressure_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     failed += int(rows["failed"].sum())
     retried += int(rows["retried"].sum())
     errors += int(rows["checkpoint_errors"].sum())
-    quick = (rows["latency_ms"] < rules.PRESSURE["latency_warn_ms"]).to_numpy()
+    quick = (rows["latency_ms"] < _SLOW_MS).to_numpy()
     slow = int(quick[::-1].argmax()) if quick.any() else slow + len(rows)
     state.update((n, latency, claimed, failed, retried, errors, slow))
     yield pd.DataFrame({"run_id": [key[0]], "n": [n], "latency": [latency], "claimed": [claimed], "failed": [failed], "retried": [retried], "errors": [errors], "slow": [slow]})
