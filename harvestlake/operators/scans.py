@@ -21,6 +21,17 @@ def time_chunk(ts_us: str = "ts_us", width_us: int = HOUR_US) -> Column:
     return F.floor(F.col(ts_us) / F.lit(width_us)).cast("bigint")
 
 
+def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Rows with their chunk; rows without a key belong to no group and are left out.
+
+    With the null checks stated here, the rows and the per-chunk table are read through the
+    same filter, and Spark makes the shuffle of the log once and reuses it.
+    """
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df.withColumn("_chunk", F.coalesce(chunk, F.lit(-1).cast("bigint")))
+
+
 def _windows(keys: list[str], order: list[str]):
     within = W.partitionBy(*keys, "_chunk").orderBy(*order)
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -43,7 +54,7 @@ def running(
     """Add running sums and maxima up to each row, and values of the row before it."""
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
     within, upto, earlier = _windows(keys, order)
-    local = df.withColumn("_chunk", chunk)
+    local = _chunked(df, keys, chunk)
     local = local.select(
         "*",
         *[F.sum(e).over(upto).alias(f"_s_{n}") for n, e in sums.items()],
@@ -77,8 +88,8 @@ def running(
 def streak(df: DataFrame, keys: list[str], order: list[str], chunk: Column, breaks: Column, name: str, index: str | None = None) -> DataFrame:
     """Add the number of rows since the last row for which ``breaks`` holds, 0 on such a row."""
     within, upto, earlier = _windows(keys, order)
-    local = df.withColumn("_chunk", chunk).withColumns({"_rn": F.row_number().over(within), "_brk": breaks})
-    local = local.withColumn("_at", F.max(F.when(F.col("_brk"), F.col("_rn"))).over(upto))
+    local = _chunked(df, keys, chunk).withColumn("_rn", F.row_number().over(within))
+    local = local.withColumn("_at", F.max(F.when(breaks, F.col("_rn"))).over(upto))
     per_chunk = local.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.max("_at").alias("_last"))
     counted = per_chunk.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     carry = counted.withColumn("_hit", F.max(F.col("_before") + F.col("_last")).over(earlier)).select(*keys, "_chunk", "_before", "_hit")
@@ -96,7 +107,7 @@ def spaced_starts(df: DataFrame, keys: list[str], order: list[str], chunk: Colum
     max over j ≤ i of (arrival_j − j·delay) + i·delay, a running maximum.
     """
     within, upto, earlier = _windows(keys, order)
-    local = df.withColumns({"_chunk": chunk, "_d": delay}).withColumn("_rn", F.row_number().over(within))
+    local = _chunked(df, keys, chunk).withColumn("_rn", F.row_number().over(within)).withColumn("_d", delay)
     local = local.withColumn("_m", F.max(F.col(arrival) - F.col("_rn") * F.col("_d")).over(upto))
     per_chunk = local.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"), F.max("_d").alias("_cd"))
     counted = per_chunk.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
