@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harvestlake.operators import elements as E
+from harvestlake.operators import extend
 from harvestlake.operators import extract as X
 from harvestlake.operators import frontier as FR
 from harvestlake.operators import funnel as FU
@@ -393,3 +394,19 @@ def test_similarity_against_difflib(spark):
     moved = E.parse_elements(page(spark, TREE.replace('<span class="price">$ 5</span>', '<span class="cost">$ 7</span>')))
     found = E.relocate_elements(E.with_parents(moved).withColumn("site", F.lit("s")), saved).collect()
     assert [r["tag"] for r in found] == ["span"] and 40 <= found[0]["score"] < 100
+
+
+def test_processor_failures_stay_with_their_item(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "boom"), (3, "later")], "page_id long, url string")
+
+    def processor(row):
+        if row["url"] == "boom":
+            raise KeyError("x")
+        return {"ok": row["url"] != "later", "retry": True, "records": [row["url"]]}
+
+    out = extend.process_items(df, processor, "page_id")
+    rows = {r["page_id"]: r for r in out.collect()}
+    assert rows[1]["ok"] and rows[1]["records"] == ["a"] and rows[2]["error"] == "KeyError: 'x'" and not rows[2]["retry"] and rows[3]["retry"]
+    frontier = df.select("page_id", F.lit("running").alias("status"))
+    after = {r["page_id"]: r["status"] for r in FR.apply_outcomes(frontier, out).collect()}
+    assert after == {1: "done", 2: "failed", 3: "queued"}
