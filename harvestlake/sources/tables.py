@@ -44,10 +44,10 @@ FROM (SELECT event_id AS request_id, cast(ts AS timestamp) AS ts, unix_micros(ca
       FROM @events) e
 """
 
-# one work batch per run and hour
+# one work batch per run and hour; whole milliseconds, so sums do not depend on the order of rows
 ADAPTERS["batches"] = """
 SELECT run_id, cast(floor(ts_us / 3600000000) AS bigint) AS batch_id,
-       cast(sum(latency_ms) AS double) / count(*) AS latency_ms, count(*) AS claimed,
+       cast(floor(cast(sum(latency_ms) AS double) / count(*)) AS double) AS latency_ms, count(*) AS claimed,
        cast(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS bigint) AS succeeded,
        cast(sum(CASE WHEN ok OR retried THEN 0 ELSE 1 END) AS bigint) AS failed,
        cast(sum(CASE WHEN retried AND NOT ok THEN 1 ELSE 0 END) AS bigint) AS retried,
