@@ -66,19 +66,19 @@ def difference_bound(a: bytes, b: bytes) -> int:
     return int((x != y).sum())
 
 
-def shingle_levels(docs: DataFrame, width: int, text: str = "text", bits: int = 18) -> bytes:
+def shingle_levels(docs: DataFrame, width: int, text: str = "text", bits: int = 21) -> bytes:
     """About log2 of how many texts a shingle stands in, by the first bits of its hash.
 
     Counters of all texts are added up per task and then per counter; 2^bits bytes reach the driver.
+    Shingles rarer than the mean of a counter look alike, so larger corpora want more bits.
     """
 
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                s = _raw_shingles(t.as_py(), width)
-                if len(s):
-                    total += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            seen = [_raw_shingles(t, width) for t in batch.column(0).to_pylist()]
+            if seen:
+                total += np.bincount((np.concatenate(seen) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
             lanes = total.reshape(-1, LANES)
             rows = np.flatnonzero(lanes.any(axis=1))
@@ -182,16 +182,28 @@ def _verified(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, pe
     return both.where(links("x", "y")).select("a", "b")
 
 
+def _most(n: str, pos: str, percent: int):
+    """Largest size of a partner: a shingle at place ``pos`` leaves at most ``n - pos`` shared ones."""
+    left = F.floor((F.col(n) - F.col(pos)) * (100 + percent) / percent) - F.col(n)
+    return F.least(F.floor(F.col(n) * 100 / percent), left).cast("int")
+
+
+def _answers(lists: DataFrame, percent: int) -> DataFrame:
+    """Every list's first set with each set of the list that size and position allow."""
+    first = lists.groupBy("tok").agg(F.min("sid").alias("a"), F.min_by("n", "sid").alias("n_a"), F.min_by("pos", "sid").alias("pos_a"))
+    fits = (F.col("n") <= _most("n_a", "pos_a", percent)) & (F.col("n_a") <= _most("n", "pos", percent))
+    return lists.join(first, "tok").where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct()
+
+
 def _cross_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs that lists leave between different components.
 
-    An entry's size and position say which sizes its partners can have: a shingle at place ``pos``
-    leaves at most ``n - pos`` shared ones.  All other entries of the list are skipped.
+    An entry's size and position say which sizes its partners can have; all other entries of the
+    list are skipped.
     """
     placed = lists.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
-    rows = stored(placed.join(mixed, "tok", "left_semi").withColumn("most", most.cast("int")), "mixed")
+    rows = stored(placed.join(mixed, "tok", "left_semi").withColumn("most", _most("n", "pos", percent)), "mixed")
     x, y = (rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("tok", "sid", "n", "root", "most")]) for k in ("x", "y"))
     fits = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y"))
     apart = (F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y"))
@@ -203,8 +215,7 @@ def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "t
     levels = shingle_levels(docs, width, text)
     head = stored(index_sets(docs, levels, width, percent, text), "sets-head")
     lists = stored(_lists(head), "lists")
-    answer = lists.groupBy("tok").agg(F.min("sid").alias("a"))
-    stars = lists.join(answer, "tok").where(F.col("sid") != F.col("a")).select("a", F.col("sid").alias("b")).distinct()
+    stars = _answers(lists, percent)
     links = stored(_verified(stored(stars, "stars"), head, docs, width, percent, text), "links-1")
     groups = components(links)
     rest = stored(_cross_pairs(lists, groups, percent), "cross")
