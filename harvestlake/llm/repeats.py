@@ -260,9 +260,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", n_
     same = rows.where("NOT _hit").select(*docs.columns)
     joined = rows.where("_hit").join(changes.select("h", "_copy", "_kept"), F.col("_h") == F.col("h"), "left")
     gone = F.col("_copy") & (F.octet_length(payload(text)) >= length)
-    left = F.when(F.col("_copy").isNull(), F.col(text)).when(gone, F.lit("")).when(F.col("_copy"), F.col(text)).otherwise(F.col("_kept"))
-    changed = joined.withColumn("_left", left).where("_copy IS NULL OR _left <> ''")
-    cols = [F.col("_left").alias(c) if c == text else (F.when(F.col("_copy").isNotNull(), F.length("_left").cast("bigint")).otherwise(F.col(c)).alias(c) if c == n_chars else F.col(c)) for c in docs.columns]
+    cut_short = F.coalesce(~F.col("_copy"), F.lit(False))
+    changed = joined.where(~F.coalesce(gone | (cut_short & (F.col("_kept") == "")), F.lit(False)))
+    new = {text: F.when(cut_short, F.col("_kept")).otherwise(F.col(text))}
+    if n_chars:
+        new[n_chars] = F.when(cut_short, F.length("_kept").cast("bigint")).otherwise(F.col(n_chars))
+    cols = [new.get(c, F.col(c)).alias(c) for c in docs.columns]
     return same.unionByName(changed.select(*cols))
 
 

@@ -196,7 +196,7 @@ def learn(
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 if toxic > 0 and text:
                     terms = _features(text)
-                    family = min(zlib.crc32(t.encode()) for t in terms) if terms else 0
+                    family = min((zlib.crc32(w.encode()) for w in set(text.split())), default=0)
                     seen.add(("", family))
                     seen.update((t, family) for t in terms & candidates)
             yield pd.DataFrame(sorted(seen), columns=["term", "family"])
