@@ -354,7 +354,7 @@ def label_from_url(u: Column) -> Column:
     spaced = F.regexp_replace(last, r"[-_]+", " ")
     bare = F.regexp_replace(spaced, r"(?i)\.(html?|php|aspx?)$", "")
     tidy = F.trim(F.regexp_replace(F.replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit("%20"), F.lit(" ")), r"\s+", " "))
-    return F.substring(tidy, 1, 80)
+    return tidy
 
 
 def canonicalize(df: DataFrame, url: str = "url") -> DataFrame:

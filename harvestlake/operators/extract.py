@@ -364,7 +364,7 @@ def grid_items(page: Page) -> Column:
             currency=F.lit("USD"),
             color=option(p, "color"),
             size=option(p, "size"),
-            description=F.substring(_get(p, "$.body_html"), 1, 500),
+            description=_get(p, "$.body_html"),
             image_url=_or(_get(p, "$.image.src"), _get(p, "$.images[0].src")),
             product_url=F.when(handle != "", F.concat(F.lit("https://"), host, F.lit("/products/"), handle)),
             category_level_1=_get(p, "$.product_type"),
@@ -448,9 +448,10 @@ def _trial_run(pages: DataFrame) -> DataFrame:
     return ran.withColumn("_ranked", F.array_sort(F.filter(F.array(*rows), lambda r: r.isNotNull())))
 
 
-def detect_contracts(pages: DataFrame, max_candidates: int = 6) -> DataFrame:
-    """Ranked extractor candidates per page with confidence after a trial run."""
-    return _trial_run(pages).select("page_id", F.posexplode(F.slice("_ranked", 1, max_candidates)).alias("rank", "_c")).select(
+def detect_contracts(pages: DataFrame, max_candidates: int | None = None) -> DataFrame:
+    """Ranked extractor candidates per page with confidence after a trial run; all of them unless a number is asked for."""
+    ranked = F.slice("_ranked", 1, max_candidates) if max_candidates else F.col("_ranked")
+    return _trial_run(pages).select("page_id", F.posexplode(ranked).alias("rank", "_c")).select(
         "page_id",
         (F.col("rank") + 1).alias("rank"),
         F.col("_c.strategy").alias("strategy"),
@@ -534,9 +535,8 @@ def page_meta_fields(pages: DataFrame) -> DataFrame:
 def page_api_candidates(pages: DataFrame, limit: int = 20) -> DataFrame:
     """API-like strings of each page, resolved, without trackers, scored and ranked."""
     found = F.regexp_extract_all(F.col("html"), F.lit("(?i)" + rules.API_HINT), 1)
-    hints = F.filter(found, lambda x: F.length(x) <= 300)
     full = F.filter(
-        F.array_distinct(F.transform(F.array_distinct(hints), lambda x: urls.resolve(F.col("url"), x))),
+        F.array_distinct(F.transform(F.array_distinct(found), lambda x: urls.resolve(F.col("url"), x))),
         lambda x: ~urls.is_tracking_url(x),
     )
 
@@ -577,7 +577,7 @@ def script_inventory(pages: DataFrame) -> DataFrame:
         F.transform(F.regexp_extract_all(js, F.lit(f"({p})"), 1), _word_in(c)) for p, c in rules.SCRIPT_PATTERNS
     ]
     graphql = F.concat(*[F.regexp_extract_all(js, F.lit(p), 1) for p in rules.SCRIPT_GRAPHQL])
-    endpoints = F.filter(F.regexp_extract_all(js, F.lit(rules.SCRIPT_ENDPOINT), 1), lambda e: (F.length(e) <= 300) & ~F.startswith(e, F.lit("data:")))
+    endpoints = F.filter(F.regexp_extract_all(js, F.lit(rules.SCRIPT_ENDPOINT), 1), lambda e: ~F.startswith(e, F.lit("data:")))
     found = staged.withColumns(
         {
             "endpoints": F.array_distinct(endpoints),

@@ -49,12 +49,11 @@ def resume_pending(seeds: DataFrame, done: DataFrame) -> DataFrame:
 
 def next_batch(frontier: DataFrame, limit: int, now_us: int, lease_s: int = 300, tie: str = "page_id") -> DataFrame:
     """Rows to work on next: queued or with an expired lease, by priority and age."""
-    k = max(1, min(int(limit), 200))
     ready = (F.col("status") == "queued") | ((F.col("status") == "running") & (F.col("locked_us") < now_us - lease_s * 1_000_000))
     return (
         frontier.where(ready)
         .orderBy(F.desc("priority"), "created_us", tie)
-        .limit(k)
+        .limit(max(1, int(limit)))
         .withColumns({"status": F.lit("running"), "locked_us": F.lit(now_us), "attempts": F.col("attempts") + 1})
     )
 
@@ -195,13 +194,14 @@ def rate_rule_lookup(domains: DataFrame, rate_rules: DataFrame, domain: str = "d
 
 def retry_decision(rows: DataFrame) -> DataFrame:
     """Retry or not, delay and reason.  Rows carry status_code, error, attempt, the rule and robots delay."""
-    retryable = (F.col("error") != "") | F.col("status_code").isin(*rules.RETRY_STATUSES)
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    retryable = failed | F.coalesce(F.col("status_code").isin(*rules.RETRY_STATUSES), F.lit(False))
     again = retryable & (F.col("attempt") < F.col("max_retries"))
     robots = F.col("crawl_delay")
     base = F.greatest(F.col("delay_s"), F.coalesce(F.greatest(robots, F.lit(0.0)), F.lit(0.0)))
     delay = F.when(again & (F.col("attempt") > 0), base * F.pow(F.col("backoff"), F.col("attempt"))).otherwise(base)
     reason = (
-        F.when(F.col("status_code") == 429, "rate_limited").when(F.col("error") != "", "transport_error").when(robots.isNotNull(), "robots_metadata")
+        F.when(F.col("status_code") == 429, "rate_limited").when(failed, "transport_error").when(robots.isNotNull(), "robots_metadata")
         .when(retryable, F.concat(F.lit("retryable_status:"), F.col("status_code"))).otherwise("standard")
     )
     return rows.withColumns({"should_retry": again, "wait_s": F.round(delay, 3), "retry_reason": reason})
@@ -236,11 +236,12 @@ def crawl_lineage(seeds: DataFrame, edges: DataFrame, max_depth: int = 20) -> Da
 
 
 # ---------------------------------------------------------------- lists
-def list_jobs(jobs: DataFrame, status: str = "", kind: str = "", limit: int = 50) -> DataFrame:
-    """Newest jobs, optionally of one status or kind."""
+def list_jobs(jobs: DataFrame, status: str = "", kind: str = "", limit: int | None = None) -> DataFrame:
+    """Jobs, newest first, optionally of one status or kind; all of them unless a number is asked for."""
     rows = jobs.where(F.col("status") == status) if status else jobs
     rows = rows.where(F.col("kind") == kind) if kind else rows
-    return rows.orderBy(F.desc("created_us"), "task_id").limit(max(1, min(limit, 500)))
+    rows = rows.orderBy(F.desc("created_us"), "task_id")
+    return rows.limit(limit) if limit else rows
 
 
 def prune_stale(jobs: DataFrame, now_us: int, retention_s: int = 3600) -> DataFrame:

@@ -154,7 +154,6 @@ def scan_sitemap_xml(files: DataFrame, rule: LinkRule = LinkRule(exact_domain=Tr
 
 _NAV = r"(?is)(<nav\b[^>]*>.*?</nav\s*>|<header\b[^>]*>.*?</header\s*>)"
 _ANCHOR = r"(?is)(<a\b[^>]*\bhref\b[^>]*>.*?</a\s*>)"
-MAX_CATALOG_NODES = 200
 
 
 def _anchors(html: Column) -> Column:
@@ -170,7 +169,7 @@ def _anchors(html: Column) -> Column:
 
 
 def catalog_nodes(pages: DataFrame) -> DataFrame:
-    """Navigation anchors that look like categories, first label per url, 200 per page."""
+    """Navigation anchors that look like categories, first label per url."""
     body = H.without_scripts(F.col("html"))
     nav = F.array_join(F.regexp_extract_all(body, F.lit(_NAV), 1), " ")
     anchors = (
@@ -188,7 +187,7 @@ def catalog_nodes(pages: DataFrame) -> DataFrame:
     wanted = F.filter(full, lambda n: urls.is_catalog_url(n["node_url"], n["label"]))
     keyed = anchors.select("page_id", wanted.alias("_nodes")).withColumn("_keys", F.col("_nodes.node_url"))
     first = F.transform(F.array_distinct("_keys"), lambda k: F.element_at(F.col("_nodes"), F.array_position("_keys", k).cast("int")))
-    return keyed.select("page_id", F.posexplode(F.slice(first, 1, MAX_CATALOG_NODES)).alias("node_no", "_n")).select(
+    return keyed.select("page_id", F.posexplode(first).alias("node_no", "_n")).select(
         "page_id",
         (F.col("node_no") + 1).alias("node_no"),
         F.col("_n.label").alias("label"),
@@ -287,7 +286,7 @@ def detect_next_pages(pages: DataFrame, max_pages: int = 10) -> DataFrame:
     found = (
         F.when(F.col("_next").isNotNull() & (step > 0), F.concat(F.array("_next"), _expand(F.col("_next"), there["name"], there["page"], step, max_pages - 1)))
         .when(F.col("_next").isNotNull(), F.array("_next"))
-        .when(F.size("_numbered") > 0, F.slice("_numbered", 1, max_pages - 1))
+        .when(F.size("_numbered") > 0, F.col("_numbered"))
         .when(own.isNotNull(), _expand(base, own["name"], own["page"], F.lit(1), max_pages - 1))
         .otherwise(nothing)
     )

@@ -424,11 +424,12 @@ def fetch_metrics(log: DataFrame) -> DataFrame:
     return grouped.select("run_id", kind.alias("metric"), value.alias("key"), "requests", "ok_count", "fail_count", "retries", "max_active")
 
 
-def fetch_errors(log: DataFrame, per_run: int = 100) -> DataFrame:
-    """First error texts of each run; the limit is applied before the shuffle."""
+def fetch_errors(log: DataFrame, per_run: int | None = None) -> DataFrame:
+    """Error texts of each run in order; with ``per_run`` only the first ones, cut before the shuffle."""
     w = W.partitionBy("run_id").orderBy("ts_us", "request_id")
     failed = log.where("NOT ok AND error <> ''").select("run_id", "ts_us", "request_id", "error")
-    return failed.withColumn("error_no", F.row_number().over(w)).where(F.col("error_no") <= per_run).drop("ts_us")
+    numbered = failed.withColumn("error_no", F.row_number().over(w)).drop("ts_us")
+    return numbered.where(F.col("error_no") <= per_run) if per_run else numbered
 
 
 def failure_histogram(*sources: DataFrame) -> DataFrame:

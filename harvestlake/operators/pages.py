@@ -49,12 +49,12 @@ def _array_of(*pairs: tuple[Column, Column]) -> Column:
 def api_hints(html: Column) -> Column:
     """Distinct API-like strings of a page body."""
     found = F.regexp_extract_all(html, F.lit("(?i)" + rules.API_HINT), 1)
-    return F.array_distinct(F.filter(found, lambda u: F.length(u) <= 300))
+    return F.array_distinct(found)
 
 
 def access_profile(pages: DataFrame, headers: str | None = None) -> DataFrame:
     """Size, structure and challenge signals of each page, next to its other columns."""
-    h, status = F.col("html"), F.col("status_code")
+    h, status = F.coalesce(F.col("html"), F.lit("")), F.col("status_code")
     low = F.lower(h)
     if headers:
         entries = F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
@@ -162,7 +162,7 @@ _CANDIDATE = r"(?s)<(?i:article|li)[\s>/]|<[A-Za-z][^>]*\sclass\s*=\s*(?:\"[^\"]
 def quality_score(profile: DataFrame) -> DataFrame:
     """Additive page score with reasons; ``good_enough`` is the accept rule."""
     status = F.col("status_code")
-    dom = H.without_scripts(F.col("html")).rlike(_CANDIDATE)
+    dom = H.without_scripts(F.coalesce(F.col("html"), F.lit(""))).rlike(_CANDIDATE)
     chars, words = F.col("html_chars"), F.col("text_chars")
     has_hints = F.size("api_hints") > 0
     challenged = F.col("challenge") != ""
@@ -202,7 +202,7 @@ def classify_pages(pages: DataFrame) -> DataFrame:
         (F.col("structured_data"), F.lit("embedded_structured_data_available")),
         (F.size("api_hints") > 0, F.lit("possible_api_endpoints_found")),
     )
-    h, status = F.col("html"), F.col("status_code")
+    h, status = F.coalesce(F.col("html"), F.lit("")), F.col("status_code")
     return scored.withColumns(
         {
             "is_bad": is_bad_page(h, status),

@@ -32,8 +32,9 @@ def _text(c: str) -> Column:
 def record_issues(products: DataFrame, keys: tuple[str, ...], profile: QualityProfile = QualityProfile()) -> DataFrame:
     """One row per quality issue (code, severity, field) of each record."""
     need = set(profile.required)
-    blocked = F.col("status") == "blocked"
-    lenient = (F.col("status") == "partial") & F.lit(profile.allow_partial)
+    status = F.coalesce(F.col("status"), F.lit(""))
+    blocked = status == "blocked"
+    lenient = (status == "partial") & F.lit(profile.allow_partial)
 
     def level(strict: bool, otherwise: str) -> Column:
         return F.lit("error" if strict else otherwise)
@@ -41,7 +42,7 @@ def record_issues(products: DataFrame, keys: tuple[str, ...], profile: QualityPr
     url = F.coalesce(F.nullif(_text("canonical_url"), F.lit("")), F.nullif(_text("source_url"), F.lit("")), F.lit(""))
     title, notes, description = _text("title"), _text("notes"), _text("description")
     given = F.coalesce(F.col("price_text"), F.lit("")) != ""
-    price, images = F.col("highest_price"), F.col("image_urls")
+    price, images = F.col("highest_price"), F.coalesce(F.col("image_urls"), F.array().cast("array<string>"))
     is_data = lambda i: F.startswith(i, F.lit("data:"))
     usable = F.filter(images, lambda i: ~is_data(i) & ~urls.has_token(F.lower(i), rules.QUALITY_IMAGE_NOISE))
     price_fields, image_fields = bool({"price", "highest_price"} & need), bool({"image", "images", "image_url", "image_urls"} & need)
@@ -326,7 +327,7 @@ def run_stats(products: DataFrame) -> DataFrame:
     )
 
 
-def field_gaps(quality: DataFrame, selected: tuple[str, ...], by: str = "run_id", limit: int = 50) -> DataFrame:
+def field_gaps(quality: DataFrame, selected: tuple[str, ...], by: str = "run_id") -> DataFrame:
     """Selected fields that are under 80 % complete or not measured, and runs without records."""
     gaps = []
     for f in selected:
@@ -336,4 +337,4 @@ def field_gaps(quality: DataFrame, selected: tuple[str, ...], by: str = "run_id"
         else:
             gaps.append(F.struct(F.lit(f).alias("field"), F.lit("missing_coverage_metric").alias("kind"), F.lit(None).cast("double").alias("coverage")))
     gaps.append(F.when(F.col("total_records") == 0, F.struct(F.lit("").alias("field"), F.lit("zero_records").alias("kind"), F.lit(0.0).alias("coverage"))))
-    return quality.select(by, F.inline(F.slice(F.filter(F.array(*gaps), lambda g: g.isNotNull()), 1, limit)))
+    return quality.select(by, F.inline(F.filter(F.array(*gaps), lambda g: g.isNotNull())))

@@ -9,6 +9,8 @@ The log is shuffled once, on (group, chunk).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,13 +24,7 @@ def time_chunk(ts_us: str = "ts_us", width_us: int = HOUR_US) -> Column:
 
 
 def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Rows with their chunk; rows without a key belong to no group and are left out.
-
-    With the null checks stated here, the rows and the per-chunk table are read through the
-    same filter, and Spark makes the shuffle of the log once and reuses it.
-    """
-    for k in keys:
-        df = df.where(F.col(k).isNotNull())
+    """Rows with their chunk; rows without a key are a group of their own."""
     return df.withColumn("_chunk", F.coalesce(chunk, F.lit(-1).cast("bigint")))
 
 
@@ -39,7 +35,9 @@ def _windows(keys: list[str], order: list[str]):
 
 
 def _attach(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return local.join(carry, [*keys, "_chunk"])
+    names = {k: f"_key_{i}" for i, k in enumerate([*keys, "_chunk"])}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return local.join(carry.withColumnsRenamed(names), same)
 
 
 def running(

@@ -127,7 +127,7 @@ shop_grid AS (SELECT page_id, ord, """ + item_select(
     "'shop_grid'", "CASE WHEN was > coalesce(now_price, 0) THEN was ELSE now_price END", title=js("p", "$.title"), currency="'USD'",
     color=f"[{js('z', '$.values[0]')} for z in json_extract(p, '$.options[*]') if lower({js('z', '$.name')}) = 'color'][1]",
     size=f"[{js('z', '$.values[0]')} for z in json_extract(p, '$.options[*]') if lower({js('z', '$.name')}) = 'size'][1]",
-    description=f"substr({js('p', '$.body_html')}, 1, 500)", image_url=firstof(js("p", "$.image.src"), js("p", "$.images[0].src")),
+    description=js('p', '$.body_html'), image_url=firstof(js("p", "$.image.src"), js("p", "$.images[0].src")),
     product_url=f"CASE WHEN {js('p', '$.handle')} <> '' THEN 'https://' || {S.netloc('url')} || '/products/' || {js('p', '$.handle')} END",
     category_level_1=js("p", "$.product_type"), brand=js("p", "$.vendor"), sku=js("p", "$.variants[0].sku"),
 ) + " FROM grid_v)"
@@ -184,7 +184,7 @@ cand AS (SELECT f.page_id, f.strategy, f.ord, coalesce(n, 0) AS items, round(CAS
   FROM flags f LEFT JOIN counts c ON f.page_id = c.page_id AND f.strategy = c.strategy),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY (items > 0) DESC, confidence DESC, ord) AS rank FROM cand)"""
 
-query("detect_contracts", f"WITH {_DETECT_CTE} SELECT page_id, rank, strategy, confidence, items FROM ranked WHERE rank <= 6", PP)(
+query("detect_contracts", f"WITH {_DETECT_CTE} SELECT page_id, rank, strategy, confidence, items FROM ranked", PP)(
     lambda t: X.detect_contracts(t("product_pages")).withColumns({"rank": F.col("rank").cast("bigint"), "items": F.col("items").cast("bigint")})
 )
 
@@ -251,7 +251,7 @@ query(
     "page_api_candidates",
     f"""
 WITH a AS (SELECT page_id, url, generate_subscripts(l, 1) AS pos, unnest(l) AS h FROM (SELECT page_id, url, regexp_extract_all(html, {S.lit('(?i)' + rules.API_HINT)}, 1) AS l FROM product_pages) x),
-b AS (SELECT page_id, pos, {S.resolve('url', 'h')} AS u FROM a WHERE length(h) <= 300),
+b AS (SELECT page_id, pos, {S.resolve('url', 'h')} AS u FROM a),
 c AS (SELECT page_id, u, min(pos) AS pos FROM b WHERE NOT {S.has_any('lower(u)', rules.TRACKING_PATTERNS)} GROUP BY ALL),
 d AS (SELECT *, (CASE WHEN contains(lower(u), 'api') THEN 20 ELSE 0 END) + (CASE WHEN contains(lower(u), 'graphql') THEN 18 ELSE 0 END)
   + (CASE WHEN {S.has_any('lower(u)', ('product', 'catalog', 'items', 'search'))} THEN 12 ELSE 0 END) + (CASE WHEN {S.has_any('lower(u)', ('page', 'offset', 'limit'))} THEN 4 ELSE 0 END) AS score FROM c),
@@ -271,7 +271,7 @@ query(
     "api_hints",
     f"""
 WITH a AS (SELECT page_id, generate_subscripts(l, 1) AS pos, unnest(l) AS hint FROM (SELECT page_id, regexp_extract_all(html, {S.lit('(?i)' + rules.API_HINT)}, 1) AS l FROM product_pages) x),
-b AS (SELECT page_id, hint, min(pos) AS pos FROM a WHERE length(hint) <= 300 GROUP BY ALL),
+b AS (SELECT page_id, hint, min(pos) AS pos FROM a GROUP BY ALL),
 c AS (SELECT page_id, hint, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS hint_no FROM b)
 SELECT page_id, hint_no, hint FROM c WHERE hint_no < 20""",
     PP,
@@ -286,7 +286,7 @@ sc_a AS (SELECT page_id, url, generate_subscripts(l, 1) - 1 AS script_no, unnest
 sc_b AS (SELECT page_id, url, script_no, s, regexp_extract(s, '(?is)^<script\\b[^>]*>', 0) AS tag FROM sc_a),
 sc_c AS (SELECT *, trim({S.unescape(S.attr('tag', 'src'))}) AS src, {S.attr('tag', 'type')} AS type_attr FROM sc_b),
 sc_d AS (SELECT page_id, script_no, type_attr, src = '' AS is_inline, CASE WHEN src <> '' THEN {S.resolve('url', 'src')} ELSE '' END AS script_url, CASE WHEN src = '' THEN trim({S.script_body('s')}) ELSE '' END AS js FROM sc_c),
-sc_e AS (SELECT *, length(js) AS size, list_distinct([e for e in regexp_extract_all(js, {S.lit(rules.SCRIPT_ENDPOINT)}, 1) if length(e) <= 300 and not starts_with(e, 'data:')]) AS endpoints,
+sc_e AS (SELECT *, length(js) AS size, list_distinct([e for e in regexp_extract_all(js, {S.lit(rules.SCRIPT_ENDPOINT)}, 1) if not starts_with(e, 'data:')]) AS endpoints,
   {_KEYWORDS} AS keywords, list_distinct(regexp_extract_all(js, {S.lit(rules.SCRIPT_GRAPHQL[0])}, 1) || regexp_extract_all(js, {S.lit(rules.SCRIPT_GRAPHQL[1])}, 1)) AS graphql,
   list_distinct(regexp_extract_all(js, {S.lit(rules.SCRIPT_WEBSOCKET)}, 1)) AS websockets, list_distinct(regexp_extract_all(js, {S.lit(rules.SCRIPT_SOURCEMAP)}, 1)) AS sourcemaps FROM sc_d),
 sc AS (SELECT *, {' + '.join(f"(CASE WHEN list_contains({_CATS}, '{c}') THEN {p} ELSE 0 END)" for c, p in rules.SCRIPT_CATEGORY_POINTS)}

@@ -226,7 +226,7 @@ query(
   count(*) AS requests, count(*) FILTER (ok) AS ok_count, count(*) FILTER (NOT ok) AS fail_count, count(*) FILTER (retried) AS retries, max(k) AS max_active FROM fetch_log GROUP BY GROUPING SETS ((run_id), (run_id, domain), (run_id, status_code), (run_id, event_type))""",
     FL,
 )(lambda t: O.fetch_metrics(t("fetch_log")))
-query("fetch_errors", "SELECT run_id, request_id, error, error_no FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, request_id) AS error_no FROM fetch_log WHERE NOT ok AND error <> '') x WHERE error_no <= 100", FL)(
+query("fetch_errors", "SELECT run_id, request_id, error, error_no FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_us, request_id) AS error_no FROM fetch_log WHERE NOT ok AND error <> '') x", FL)(
     lambda t: O.fetch_errors(t("fetch_log"))
 )
 
@@ -462,7 +462,7 @@ SELECT d.url, d.depth, coalesce(f.parent, '') AS parent_url FROM d LEFT JOIN f O
 # ---------------------------------------------------------------- lists
 JB = ("jobs",)
 _JNOW = 915148800000000
-query("list_jobs", "SELECT task_id, kind, status, created_us FROM jobs WHERE status = 'completed' AND kind = '1-URGENT' ORDER BY created_us DESC, task_id LIMIT 50", JB)(
+query("list_jobs", "SELECT task_id, kind, status, created_us FROM jobs WHERE status = 'completed' AND kind = '1-URGENT'", JB)(
     lambda t: FR.list_jobs(t("jobs"), "completed", "1-URGENT").select("task_id", "kind", "status", "created_us")
 )
 query("list_tasks", "SELECT task_id, status, created_us FROM jobs ORDER BY created_us DESC, task_id LIMIT 20", JB)(lambda t: FR.list_jobs(t("jobs"), limit=20).select("task_id", "status", "created_us"))
@@ -472,7 +472,7 @@ query("list_items", "SELECT task_id, item_index, title, link FROM task_items ORD
 query("prune_stale", f"SELECT task_id, status, created_us FROM jobs WHERE NOT (status IN ('completed', 'failed', 'cancelled') AND created_us < {_JNOW} - 3600000000)", JB)(
     lambda t: FR.prune_stale(t("jobs"), _JNOW).select("task_id", "status", "created_us")
 )
-query("stuck_jobs", "SELECT task_id, created_us FROM jobs WHERE status = 'running' ORDER BY created_us DESC, task_id LIMIT 500", JB)(lambda t: FR.list_jobs(t("jobs"), "running", limit=500).select("task_id", "created_us"))
+query("stuck_jobs", "SELECT task_id, created_us FROM jobs WHERE status = 'running'", JB)(lambda t: FR.list_jobs(t("jobs"), "running").select("task_id", "created_us"))
 query("active_jobs", "SELECT count(*) FILTER (status = 'running') AS active, 4 AS capacity, count(*) FILTER (status = 'running') < 4 AS has_room FROM jobs", JB)(lambda t: FR.active_jobs(t("jobs"), 4))
 
 
@@ -536,8 +536,8 @@ query(
     f"WITH {_LOSS}, acts AS ({' UNION ALL '.join(f'SELECT run_id, {i} AS o, {S.lit(k)} AS action, {S.lit(rules.RECOVERY_ADVICE[k])} AS advice FROM cov WHERE {c}' for i, (k, c) in enumerate(_TESTS.items()))}) SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY o) - 1 AS action_no, action, advice FROM acts",
     COVV,
 )(lambda t: FU.recovery_actions(_counters_df(t)).withColumn("action_no", F.col("action_no").cast("bigint")))
-_ADV = """CASE WHEN "check" = 'min_items' THEN 'Increase page depth, pagination coverage, or seed URLs to meet min_items.' WHEN "check" = 'duplicate_rate' THEN 'Review canonical URL mapping and category-aware dedupe behavior.'
- WHEN "check" = 'failed_url_count' THEN 'Inspect failed URLs and retry/access diagnostics before scaling.' ELSE 'Improve profile mapping or selectors for `' || substr("check", 7) || '` completeness.' END"""
+_ADV = """CASE WHEN "check" = 'min_items' THEN 'Too few items: go through more pages or start from more addresses.' WHEN "check" = 'duplicate_rate' THEN 'Too many duplicates: check how addresses are normalised and keys are built.'
+ WHEN "check" = 'failed_url_count' THEN 'Too many failures: look at the failed addresses before asking for more.' ELSE 'Often empty, check its mapping: `' || substr("check", 7) || '`.' END"""
 query("next_actions", f"""WITH {RP._CHECKS} SELECT run_id, "check", {_ADV} AS advice FROM checks WHERE NOT passed""", ("offers",))(lambda t: FU.next_actions(Q.quality_checks(RP.run_quality(t), RP.POLICY)))
 
 

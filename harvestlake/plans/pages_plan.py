@@ -71,7 +71,7 @@ SELECT *, CASE WHEN frontier_form <> '' THEN sha256(frontier_form) END AS url_ha
 FROM (SELECT {source.split()[0]} AS id, url, {_FF} AS frontier_form, {S.discovered_abs(_U)} AS discovered_form,
              {S.request_form(_U)} AS request_form, {S.product_abs(_U)} AS product_form,
              {S.product_abs(_U, True)} AS product_form_query, {S.domain(_U)} AS domain, {S.url_kind(_U)} AS url_kind,
-             {_PAGENO} AS page_no, substr({label}, 1, 80) AS label, {S.product_link(_U)} AS is_product,
+             {_PAGENO} AS page_no, {label} AS label, {S.product_link(_U)} AS is_product,
              {S.catalog_url(_U)} AS is_catalog, {S.has_any('lower(url)', rules.TRACKING_PATTERNS)} AS is_tracking,
              ({S.ends_any(f'lower({S.path(_U)})', rules.ASSET_SUFFIXES)} OR {S.has_any(f'lower({S.path(_U)})', rules.ASSET_TOKENS)}) AS is_asset
       FROM {source.split()[1]}) x"""
@@ -169,7 +169,7 @@ d AS (SELECT *, CASE WHEN limited THEN 'rate_limited' WHEN gated THEN 'login_req
    len(regexp_extract_all(html, '(?is)<script\\b[^>]*type\\s*=\\s*["'']application/ld\\+json["'']')) AS json_ld_count,
    regexp_matches(html, '(?is)<script\\b[^>]*id\\s*=\\s*["'']__NEXT_DATA__["'']') AS next_data,
    contains(low, '__nuxt__') OR contains(low, '__nuxt_data__') AS nuxt_data,
-   len(list_distinct([u for u in regexp_extract_all(html, {S.lit('(?i)' + rules.API_HINT)}, 1) if length(u) <= 300])) AS api_hint_count,
+   len(list_distinct([u for u in regexp_extract_all(html, {S.lit('(?i)' + rules.API_HINT)}, 1)])) AS api_hint_count,
    regexp_matches({S.without_scripts('html')}, {S.lit(_DOM)}) AS dom FROM c),
 e AS (SELECT *, challenge = '' AND ((text_chars < 500 AND script_count >= 5) OR (app_root_count > 0 AND text_chars < 1200)) AS js_shell,
    json_ld_count > 0 OR next_data OR nuxt_data AS structured_data, status_code IN (401, 403) AS restricted FROM d),
@@ -220,7 +220,7 @@ d AS (SELECT page_id, url, pos, {S.clean_text('blk')} AS label, trim({S.unescape
 e AS (SELECT page_id, pos, label, regexp_extract({S.resolve('url', 'href')}, '^[^#]*', 0) AS node_url FROM d WHERE label <> '' AND href <> ''),
 f AS (SELECT page_id, node_url, min(pos) AS pos, arg_min(label, pos) AS label FROM e WHERE {S.catalog_url('node_url', 'label')} GROUP BY ALL),
 g AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS node_no FROM f)
-SELECT page_id, node_no, label, node_url, substr(sha1(label || '|' || node_url), 1, 16) AS node_id FROM g WHERE node_no <= 200"""
+SELECT page_id, node_no, label, node_url, substr(sha1(label || '|' || node_url), 1, 16) AS node_id FROM g"""
 
 
 def _catalog(t, src):
@@ -274,7 +274,7 @@ numbered AS (SELECT page_id, url, u, row_number() OVER (PARTITION BY page_id ORD
 found AS (
   SELECT page_id, url, 0 AS o, nxt AS next_url FROM e WHERE nxt IS NOT NULL
   UNION ALL SELECT page_id, url, i, {_set_page('nxt', 'there + i * (there - here)')} FROM e, steps WHERE nxt IS NOT NULL AND there > here
-  UNION ALL SELECT page_id, url, o, u FROM numbered WHERE o <= 9
+  UNION ALL SELECT page_id, url, o, u FROM numbered
   UNION ALL SELECT page_id, url, i, {_set_page('url', 'here + i')} FROM e, steps WHERE nxt IS NULL AND here IS NOT NULL AND page_id NOT IN (SELECT page_id FROM numbered))
 SELECT page_id, url, next_url, row_number() OVER (PARTITION BY page_id ORDER BY min(o)) - 1 AS order_no FROM found GROUP BY page_id, url, next_url"""
 

@@ -110,3 +110,9 @@ def test_no_window_over_a_whole_group(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     whole = [w for w in windows if "_chunk" not in w.split("],", 1)[1]]
     assert windows and all("sum(_n" in w or "max(" in w for w in whole)
+
+
+def test_rows_without_a_key_are_a_group(spark):
+    df = spark.createDataFrame([("a", 1, True), (None, 1, False), (None, 2, False)], "k string, t bigint, b boolean")
+    got = scans.streak(df, ["k"], ["t"], scans.F.lit(0), scans.F.col("b"), "n").orderBy("k", "t").collect()
+    assert [(r.k, r.t, r.n) for r in got] == [(None, 1, 1), (None, 2, 2), ("a", 1, 0)]
