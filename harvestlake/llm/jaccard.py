@@ -2,9 +2,10 @@
 
 Every set is ordered by one order of shingles, rare ones first, and its first shingles are indexed:
 two sets that link must share one of these.  Lists skip: a list with one set is dropped, and inside a
-list the sizes and the positions of a shingle bound what two sets can share, so whole blocks of
-entries are passed over.  Answers are derived: the first set of a list answers for the list, and once
-a set has joined a component, the component's members in its lists are no longer compared with it.
+list the sizes and the positions of a shingle bound what two sets can share, and the parities of
+hash parts bound what tells them apart, so whole blocks of entries are passed over.  Answers are
+derived: the first set of a list answers for the list, and once a set has joined a component, the
+component's members in its lists are no longer compared with it.
 Only pairs that lists leave between different components are verified.
 
 Verification is exact, in two steps: a sum per hash part of both sets shows a lower bound of
@@ -35,6 +36,8 @@ from harvestlake.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 LANES = 64
+#: Words of 64 parities that a set carries through the lists.
+PARITY = 2
 
 
 def required_overlap(a, b, percent: int):
@@ -66,6 +69,13 @@ def difference_bound(a: bytes, b: bytes) -> int:
     return int((x != y).sum())
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * PARITY hash parts holds an odd number of shingles: sets with k different bits differ in k shingles at least."""
+    parts = 64 * PARITY
+    odd = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_levels(docs: DataFrame, width: int, text: str = "text", bits: int = 21) -> bytes:
     """About log2 of how many texts a shingle stands in, by the first bits of its hash.
 
@@ -105,26 +115,27 @@ def _raw_shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def index_sets(docs: DataFrame, levels: bytes, width: int, percent: int, text: str = "text") -> DataFrame:
-    """Per row: id, text hash, set size, set id, signature and the indexed shingles in order."""
+    """Per row: id, text hash, set size, set id, signature, the indexed shingles in order and parities."""
     rank = np.frombuffer(levels, np.uint8).astype(np.uint64)
     shift = np.uint64(64 - (len(levels).bit_length() - 1))
 
     @F.pandas_udf(T.StructType([
         T.StructField("n", T.IntegerType()), T.StructField("sid", T.LongType()),
         T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType())),
+        *[T.StructField(f"p{k}", T.LongType()) for k in range(PARITY)],
     ]))
     def index(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             s = kernels.shingles(kernels.word_hashes(t), width)
             if not len(s):
-                rows.append((0, 0, b"", np.empty(0, np.int64)))
+                rows.append((0, 0, b"", np.empty(0, np.int64), *[0] * PARITY))
                 continue
             keep = prefix_length(len(s), percent)
             key = (rank[(s >> shift).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
             order = np.argsort(key, kind="stable")[:keep]
-            rows.append((len(s), set_id(s), signature(s), kernels.signed(s[order])))
-        return pd.DataFrame(rows, columns=["n", "sid", "sig", "toks"])
+            rows.append((len(s), set_id(s), signature(s), kernels.signed(s[order]), *parity(s).tolist()))
+        return pd.DataFrame(rows, columns=["n", "sid", "sig", "toks", *[f"p{k}" for k in range(PARITY)]])
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), index(F.col(text)).alias("i"))
     return rows.select("doc_id", "th", "i.*")
@@ -195,19 +206,24 @@ def _answers(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(first, "tok").where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent: int) -> DataFrame:
     """Pairs that lists leave between different components.
 
-    An entry's size and position say which sizes its partners can have; all other entries of the
-    list are skipped.
+    An entry's size and position say which sizes its partners can have, its parities how many
+    shingles tell it from a partner at least; all other entries of the list are skipped.
     """
     placed = lists.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    rows = stored(placed.join(mixed, "tok", "left_semi").withColumn("most", _most("n", "pos", percent)), "mixed")
-    x, y = (rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("tok", "sid", "n", "root", "most")]) for k in ("x", "y"))
+    words = [f"p{k}" for k in range(PARITY)]
+    parities = head.where("n > 0").groupBy("sid").agg(*[F.first(w).alias(w) for w in words])
+    rows = stored(placed.join(mixed, "tok", "left_semi").withColumn("most", _most("n", "pos", percent)).join(parities, "sid"), "mixed")
+    x, y = (rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("tok", "sid", "n", "root", "most", *words)]) for k in ("x", "y"))
     fits = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y"))
     apart = (F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y"))
-    return x.join(y, (F.col("tok_x") == F.col("tok_y")) & apart & fits).select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
+    both = F.col("n_x") + F.col("n_y")
+    near = differ <= both - 2 * F.ceil(percent * both / (100 + percent))
+    return x.join(y, (F.col("tok_x") == F.col("tok_y")) & apart & fits & near).select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
 
 
 def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
@@ -218,7 +234,7 @@ def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "t
     stars = _answers(lists, percent)
     links = stored(_verified(stored(stars, "stars"), head, docs, width, percent, text), "links-1")
     groups = components(links)
-    rest = stored(_cross_pairs(lists, groups, percent), "cross")
+    rest = stored(_cross_pairs(lists, groups, head, percent), "cross")
     links = links.unionByName(_verified(rest, head, docs, width, percent, text))
     groups = components(links)
     rows = head.select("doc_id", "th", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))

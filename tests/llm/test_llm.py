@@ -15,12 +15,6 @@ from harvestlake.session import fresh_path
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-@pytest.fixture(scope="module", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 def sentence(rng, n, vocab=400):
     return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
 
@@ -312,6 +306,16 @@ def test_components_equal_brute_force(spark, texts, width, percent):
     assert kept == [i for i, (n, c) in enumerate(want) if n == 0 or c == i]
 
 
+def test_bounds_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 300):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 3 :], rng.integers(0, 1 << 63, size // 3 + 1).astype(np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        assert sum(int(x).bit_count() for x in (jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)) <= differ
+        assert jaccard.difference_bound(jaccard.signature(a), jaccard.signature(b)) <= differ
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert jaccard.join_components(none).count() == repeats.report_repeats(none).count() == 0
