@@ -22,6 +22,8 @@ columns are left out.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,9 +37,12 @@ from harvestlake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-LANES = 64
+#: Counters that travel together.
+BLOCK = 1 << 12
 #: Words of 64 parities that a set carries through the lists.
 PARITY = 2
+#: Texts that are counted at once.
+SLICE = 1000
 
 
 def required_overlap(a, b, percent: int):
@@ -76,33 +81,47 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A block of counters in the narrowest type that holds them, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    return np.frombuffer(raw, f"u{len(raw) // BLOCK}").astype(np.int64)
+
+
 def shingle_levels(docs: DataFrame, width: int, text: str = "text", bits: int = 21) -> bytes:
     """About log2 of how many texts a shingle stands in, by the first bits of its hash.
 
-    Counters of all texts are added up per task and then per counter; 2^bits bytes reach the driver.
+    Counters of all texts are added up per task, then block by block; 2^bits counters reach the driver.
     Shingles rarer than the mean of a counter look alike, so larger corpora want more bits.
     """
 
+    def packed(blocks):
+        blocks = [(k, pack_counts(v)) for k, v in blocks if v.any()]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([v for _, v in blocks], pa.binary())], names=["block", "counts"])
+
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            seen = [_raw_shingles(t, width) for t in batch.column(0).to_pylist()]
-            if seen:
+            for at in range(0, batch.num_rows, SLICE):
+                seen = [_raw_shingles(t, width) for t in batch.column(0).slice(at, SLICE).to_pylist()]
                 total += np.bincount((np.concatenate(seen) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if total.any():
-            lanes = total.reshape(-1, LANES)
-            rows = np.flatnonzero(lanes.any(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows.astype(np.int32)), *[pa.array(lanes[rows, k].astype(np.int32)) for k in range(LANES)]],
-                names=["block", *[f"c{k}" for k in range(LANES)]],
-            )
-
-    schema = "block int, " + ", ".join(f"c{k} int" for k in range(LANES))
-    sums = docs.select(text).mapInArrow(count, schema).groupBy("block").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(LANES)])
-    levels = np.zeros((1 << bits) // LANES * LANES, np.uint8)
-    packed = sums.select("block", F.array(*[F.floor(F.log2(F.col(f"c{k}") + F.lit(1))).cast("int") for k in range(LANES)]).alias("v")).collect()
-    for r in packed:
-        levels[r["block"] * LANES : (r["block"] + 1) * LANES] = r["v"]
+        yield packed(enumerate(total.reshape(-1, BLOCK)))
+
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + unpack_counts(raw)
+        yield packed(total.items())
+
+    schema = "block int, counts binary"
+    sums = docs.select(text).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    levels = np.zeros(1 << bits, np.uint8)
+    for r in sums.collect():
+        levels[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.log2(unpack_counts(r["counts"]) + 1).astype(np.uint8)
     return levels.tobytes()
 
 

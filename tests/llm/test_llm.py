@@ -316,6 +316,18 @@ def test_bounds_never_exceed_the_difference():
         assert jaccard.difference_bound(jaccard.signature(a), jaccard.signature(b)) <= differ
 
 
+def test_counts_survive_packing(spark, texts):
+    for top in (0, 255, 256, 1 << 33):
+        block = np.zeros(jaccard.BLOCK, np.int64)
+        block[3] = top
+        assert (jaccard.unpack_counts(jaccard.pack_counts(block)) == block).all()
+    got = np.frombuffer(jaccard.shingle_levels(docs_of(spark, texts).repartition(5), 3), np.uint8)
+    want = np.zeros(1 << 21, np.int64)
+    for t in texts:
+        np.add.at(want, (jaccard._raw_shingles(t, 3) >> np.uint64(43)).astype(np.int64), 1)
+    assert (got == np.log2(want + 1).astype(np.uint8)).all()
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert jaccard.join_components(none).count() == repeats.report_repeats(none).count() == 0
