@@ -156,11 +156,21 @@ def parse_robots(files: DataFrame, agent: str = "*") -> DataFrame:
     )
 
 
+def _percent_decoded(x: Column) -> Column:
+    """``%xx`` as characters; a plus stays a plus, and a percent sign without two digits stays as it is."""
+    safe = F.replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.when(F.contains(x, F.lit("%")), F.coalesce(F.try_url_decode(safe), x)).otherwise(x)
+
+
 def robots_verdict(links: DataFrame, robots: DataFrame, mode: str = "respect") -> DataFrame:
-    """Links with the first matching robots line of their host; no file allows all."""
+    """Links with the first matching robots line of their host; no file allows all.
+
+    Addresses and lines are compared percent-decoded, so ``%7E`` and ``~`` are one.
+    """
     joined = links.join(robots, "host", "left")
-    path = F.regexp_replace(F.col("url"), r"^[A-Za-z]+://[^/]*/?", "/")
-    hit = F.get(F.filter("rules", lambda r: (r["prefix"] == "*") | F.startswith(path, r["prefix"])), F.lit(0))
+    after_host = F.regexp_replace(F.col("url"), r"^[A-Za-z]+://[^/?#]*", "")
+    path = _percent_decoded(F.when(after_host == "", "/").otherwise(after_host))
+    hit = F.get(F.filter("rules", lambda r: (r["prefix"] == "*") | F.startswith(path, _percent_decoded(r["prefix"]))), F.lit(0))
     allowed = F.coalesce(hit["allow"], F.lit(True))
     return joined.select(
         *links.columns,

@@ -48,9 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = os.path.join(tempfile.gettempdir(), f"harvestlake-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), f"harvestlake-{spark.sparkContext.applicationId}")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

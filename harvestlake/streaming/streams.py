@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,6 +80,16 @@ def stream_dedupe_records(rows: DataFrame, keys: list[str], delay: str = WATERMA
 
 
 # ---------------------------------------------------------------- carried state
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that micro-batches write, empty before the first of them."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class StateTable:
     """Small keyed table carried from one micro-batch to the next.
 
@@ -92,11 +103,19 @@ class StateTable:
         """State left by the batch before, empty for the first."""
         if batch == 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch - 1}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch - 1}").select(*self.names())
+
+    def after(self, batch: int, state: DataFrame) -> None:
+        state.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def latest(self) -> DataFrame:
+        """State of the newest micro-batch of this or an earlier run, empty if there was none."""
+        every = read_or_empty(self.spark, self.path, f"{self.schema}, batch long")
+        newest = every.agg(F.max("batch").alias("b")).first()["b"]
+        return every.where(F.col("batch") == newest).drop("batch")
 
-    def after(self, batch: int, state: DataFrame) -> DataFrame:
-        state.write.mode("overwrite").parquet(f"{self.path}/{batch}")
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch}")
+    def names(self) -> list[str]:
+        return self.spark.createDataFrame([], self.schema).columns
 
 
 def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_FAILURES, state_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -108,7 +127,6 @@ def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_F
     spark = log.sparkSession
     schema = "endpoint string, failures long, cooldown_until_us long, last_us long, success_count long"
     state = StateTable(spark, "cooldown-state", schema, state_path)
-    seen = {"batch": -1}
 
     def handle(df: DataFrame, batch: int) -> None:
         counted = scans.streak(df.select("endpoint", "request_id", "ts_us", "ok"), ["endpoint"], ["ts_us", "request_id"], scans.time_chunk(), F.col("ok"), "failures")
@@ -128,10 +146,9 @@ def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_F
                 (F.coalesce("success_count", F.lit(0)) + F.coalesce("new_ok", F.lit(0))).alias("success_count"),
             ),
         )
-        seen["batch"] = batch
 
     run_batches(log, "cooldown", handle, checkpoint)
-    return state.before(seen["batch"] + 1)
+    return state.latest()
 
 
 def stream_supervisor(batches: DataFrame, state_path: str | None = None, out_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -139,7 +156,8 @@ def stream_supervisor(batches: DataFrame, state_path: str | None = None, out_pat
     spark = batches.sparkSession
     out = out_path or fresh_path(spark, "decisions")
     state = StateTable(spark, "supervisor-state", "run_id string, carried long", state_path)
-    schema = {"value": None}
+    kinds = {c: batches.schema[c].dataType.simpleString() for c in ("run_id", "batch_id")}
+    schema = f"run_id {kinds['run_id']}, batch_id {kinds['batch_id']}, zero_streak long, action string, severity string"
 
     def handle(df: DataFrame, batch: int) -> None:
         held = state.before(batch)
@@ -150,15 +168,14 @@ def stream_supervisor(batches: DataFrame, state_path: str | None = None, out_pat
         lifted = rows.withColumn("zero_streak", streak)
         pause = (F.col("action") == "repair_after_run") & (F.col("zero_streak") >= 2)
         done = lifted.select(
-            "run_id", "batch_id", "zero_streak", F.when(pause, "pause").otherwise(F.col("action")).alias("action"), F.when(pause, "critical").otherwise(F.col("severity")).alias("severity")
+            "run_id", "batch_id", F.col("zero_streak").cast("long").alias("zero_streak"), F.when(pause, "pause").otherwise(F.col("action")).alias("action"), F.when(pause, "critical").otherwise(F.col("severity")).alias("severity")
         )
         done.write.mode("overwrite").parquet(f"{out}/micro_batch={batch}")
-        schema["value"] = done.schema
         last = spark.read.parquet(f"{out}/micro_batch={batch}").groupBy("run_id").agg(F.max_by("zero_streak", "batch_id").alias("now"))
         state.after(batch, held.join(last, "run_id", "full").select("run_id", F.coalesce("now", "carried").alias("carried")))
 
     run_batches(batches, "supervisor", handle, checkpoint)
-    return spark.read.schema(schema["value"]).parquet(out)
+    return read_or_empty(spark, out, f"{schema}, micro_batch int")
 
 
 def _pressure_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -272,6 +272,14 @@ def test_robots_groups(spark):
     assert all(v[0] for v in verdict("bot", "record_only"))
 
 
+def test_robots_percent_forms(spark):
+    files = spark.createDataFrame([("h", "User-agent: *\nDisallow: /a%7Eb\nDisallow: /x y\nDisallow: /p+q\nDisallow: /100%\nDisallow: /caf%C3%A9")], "host string, body string")
+    paths = {"/a~b": False, "/a%7eb/c": False, "/x%20y": False, "/p+q": False, "/p%20q": True, "/100%25": False, "/100": True, "/café": False, "": True, "?q=/x%20y": True}
+    links = spark.createDataFrame([("h", f"https://h{p}") for p in paths], "host string, url string")
+    got = {r["url"].removeprefix("https://h"): r["can_fetch"] for r in FR.robots_verdict(links, FR.parse_robots(files)).collect()}
+    assert got == paths
+
+
 def test_lineage_against_search(spark):
     r = random.Random(2)
     edges = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(90)]

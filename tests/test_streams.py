@@ -34,6 +34,21 @@ def test_cooldown_carries_state(spark):
     assert got == want
 
 
+def test_cooldown_restart_without_new_files(spark):
+    source, state, mark = growing(spark, log(spark, 90), "ts_us"), fresh_path(spark, "state"), fresh_path(spark, "mark")
+    rows = lambda: sorted(ST.stream_endpoint_cooldown(source, state_path=state, checkpoint=mark).collect())
+    first = rows()
+    assert first and rows() == first
+
+
+def test_state_before_any_batch(spark):
+    state = ST.StateTable(spark, "none", "k string, n long")
+    assert state.latest().count() == state.before(0).count() == 0
+    state.after(0, spark.createDataFrame([("a", 1)], state.schema))
+    state.after(10, spark.createDataFrame([("a", 2)], state.schema))
+    assert [tuple(r) for r in state.latest().collect()] == [tuple(r) for r in state.before(11).collect()] == [("a", 2)]
+
+
 def work(spark):
     r = random.Random(6)
     rows = [("r%d" % (i % 2), i, r.choice([100.0, 9000.0]), 10, 10 - i % 4, i % 4, i % 3, i % 2, r.choice([0, 0, 3]), r.choice([0, 0, 0, 2])) for i in range(90)]
@@ -46,6 +61,12 @@ def test_supervisor_carries_streak(spark):
     assert key(ST.stream_supervisor(growing(spark, df, "batch_id")).collect()) == key(O.supervise_batch(df).collect())
 
 
+def test_supervisor_restart_without_new_files(spark):
+    source, paths = growing(spark, work(spark), "batch_id"), {p: fresh_path(spark, p) for p in ("state_path", "out_path", "checkpoint")}
+    first = sorted(ST.stream_supervisor(source, **paths).collect())
+    assert first and sorted(ST.stream_supervisor(source, **paths).collect()) == first
+
+
 def test_pressure_state(spark):
     df = work(spark)
     got = {r["run_id"]: r for r in ST.stream_pressure(growing(spark, df, "batch_id")).collect()}
