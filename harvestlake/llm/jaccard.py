@@ -41,7 +41,9 @@ ship_with_tasks(__name__)
 BLOCK = 1 << 12
 #: Words of 64 parities that a set carries through the lists.
 PARITY = 2
-#: Texts that are counted at once.
+#: Bits of a shingle's hash that name its list; shingles that share a name only share a list.
+TOKEN = 48
+#: Texts that a task turns into shingles at once.
 SLICE = 1000
 
 
@@ -138,33 +140,44 @@ def index_sets(docs: DataFrame, levels: bytes, width: int, percent: int, text: s
     rank = np.frombuffer(levels, np.uint8).astype(np.uint64)
     shift = np.uint64(64 - (len(levels).bit_length() - 1))
 
-    @F.pandas_udf(T.StructType([
-        T.StructField("n", T.IntegerType()), T.StructField("sid", T.LongType()),
-        T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType())),
-        *[T.StructField(f"p{k}", T.LongType()) for k in range(PARITY)],
-    ]))
-    def index(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            s = kernels.shingles(kernels.word_hashes(t), width)
-            if not len(s):
-                rows.append((0, 0, b"", np.empty(0, np.int64), *[0] * PARITY))
-                continue
-            keep = prefix_length(len(s), percent)
-            key = (rank[(s >> shift).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
-            order = np.argsort(key, kind="stable")[:keep]
-            rows.append((len(s), set_id(s), signature(s), kernels.signed(s[order]), *parity(s).tolist()))
-        return pd.DataFrame(rows, columns=["n", "sid", "sig", "toks", *[f"p{k}" for k in range(PARITY)]])
-
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), index(F.col(text)).alias("i"))
-    return rows.select("doc_id", "th", "i.*")
+    def index(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sizes, ids, sigs, toks, odd = [], [], [], [], []
+                for t in part.column(2).to_pylist():
+                    s = kernels.shingles(kernels.word_hashes(t), width)
+                    key = (rank[(s >> shift).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
+                    order = np.argsort(key, kind="stable")[: prefix_length(len(s), percent) if len(s) else 0]
+                    sizes.append(len(s))
+                    ids.append(set_id(s) if len(s) else 0)
+                    sigs.append(signature(s) if len(s) else b"")
+                    toks.append(kernels.signed(s[order] >> np.uint64(64 - TOKEN)))
+                    odd.append(parity(s))
+                ends = np.cumsum([0, *map(len, toks)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks)))
+                cols = [part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v) for v in np.stack(odd, axis=1))], names=schema.names)
+
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("_text"))
+    own = [T.StructField("n", T.IntegerType()), T.StructField("sid", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*rows.schema.fields[:2], *own, *[T.StructField(f"p{k}", T.LongType()) for k in range(PARITY)]])
+    return rows.mapInArrow(index, schema)
 
 
 def _lists(head: DataFrame) -> DataFrame:
-    """Index lists that hold at least two sets: shingle, position, set and its size."""
+    """Index lists that hold at least two sets: shingle, position, set and its size, and the list's first set.
+
+    A shingle seen once is dropped by a count of narrow keys.  All else is dealt by shingle once, and
+    both the first sets and the lists are read from that one exchange.
+    """
     posts = head.where("n > 0").select("sid", "n", F.posexplode("toks").alias("pos", "tok"))
-    shared = posts.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("tok")
-    return posts.join(shared, "tok", "left_semi").distinct()
+    shared = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
+    lists = posts.join(shared.hint("merge"), "tok", "left_semi").distinct()
+    least = F.min(F.struct("sid", "pos", "n"))
+    first = lists.groupBy("tok").agg(least.alias("f"), F.max("sid").alias("hi")).where("f.sid <> hi")
+    first = first.select("tok", F.col("f.sid").alias("a"), F.col("f.n").alias("n_a"), F.col("f.pos").alias("pos_a"))
+    return lists.join(first.hint("merge"), "tok")
 
 
 def _verified(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
@@ -190,26 +203,27 @@ def _verified(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, pe
     rows = stored(rows, "needed")
     hit = may_join(key_filter(rows, "th"))
 
-    @F.pandas_udf(T.StructType([T.StructField("sid", T.LongType()), T.StructField("set", T.BinaryType())]))
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        sets = [kernels.shingles(kernels.word_hashes(t), width) for t in texts]
-        return pd.DataFrame([(set_id(s), s.tobytes()) for s in sets], columns=["sid", "set"])
+    def whole(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                sets = [kernels.shingles(kernels.word_hashes(t), width) for t in batch.column(0).slice(at, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "set"])
 
     hashed = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("_text"))
     texts = hashed.where(hit("th")).join(rows.select("th"), "th", "left_semi")
-    sets = stored(texts.dropDuplicates(["th"]).select(whole("_text").alias("w")).select("w.sid", "w.set"), "sets")
-
-    @F.pandas_udf(T.BooleanType())
-    def links(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            return len(np.intersect1d(x, y, assume_unique=True)) >= required_overlap(len(x), len(y), percent)
+    sets = stored(texts.dropDuplicates(["th"]).select("_text").mapInArrow(whole, "sid bigint, set binary"), "sets")
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def links(batches):
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                found.append(len(np.intersect1d(x, y, assume_unique=True)) >= required_overlap(len(x), len(y), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     left = close.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
-    return both.where(links("x", "y")).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(links, "a bigint, b bigint")
 
 
 def _most(n: str, pos: str, percent: int):
@@ -220,9 +234,8 @@ def _most(n: str, pos: str, percent: int):
 
 def _answers(lists: DataFrame, percent: int) -> DataFrame:
     """Every list's first set with each set of the list that size and position allow."""
-    first = lists.groupBy("tok").agg(F.min("sid").alias("a"), F.min_by("n", "sid").alias("n_a"), F.min_by("pos", "sid").alias("pos_a"))
     fits = (F.col("n") <= _most("n_a", "pos_a", percent)) & (F.col("n_a") <= _most("n", "pos", percent))
-    return lists.join(first, "tok").where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct()
+    return lists.where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct()
 
 
 def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +244,7 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent:
     An entry's size and position say which sizes its partners can have, its parities how many
     shingles tell it from a partner at least; all other entries of the list are skipped.
     """
-    placed = lists.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = lists.select("tok", "pos", "sid", "n").join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     words = [f"p{k}" for k in range(PARITY)]
     parities = head.where("n > 0").groupBy("sid").agg(*[F.first(w).alias(w) for w in words])
