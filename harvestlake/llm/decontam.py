@@ -4,7 +4,9 @@ The index holds the test items.  A term's weight in an item is its BM25 weight d
 of the whole item, so a passage's score is the share of the item it has.  Items lie in blocks; for
 each term and block the index knows the largest weight, and a block whose largest weights cannot add
 up to the threshold is skipped whole (block-max WAND).  Everything at or above the threshold is
-retrieved, then verified: a passage must have shingles of the question and of the answer.
+retrieved, then verified: a passage must have shingles of the question and of the answer.  Shingles are
+of five words; a part with fewer words is looked up as one shingle of its own length, so a passage is
+also hashed at the lengths that its candidates need.
 
 The index travels with the tasks only up to ``max_index_rows`` postings.  A larger set of items is cut into shards
 of at most that many, and every passage queries every shard; document frequencies always come from
@@ -62,7 +64,7 @@ class Index:
     block_of: np.ndarray
     block_weight: np.ndarray
     ids: list
-    shingles: list  # per item: of the whole, of the question, of the answer
+    shingles: list  # per item: width and shingles of the whole, of the question, of the answer
     longest: int
 
     @property
@@ -76,7 +78,7 @@ def _gather(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
     total = int(sizes.sum())
     if not total:
         return np.empty(0, np.int64)
-    first = np.repeat(start[terms] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+    first = np.repeat(start[terms] - (np.cumsum(sizes) - sizes), sizes)
     return first + np.arange(total)
 
 
@@ -92,7 +94,8 @@ def build_index(rows: list[tuple[object, str]], idf: dict[int, float], mean_leng
         w = gain * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_length))
         posts.append((terms, np.full(len(terms), len(ids)), w / w.sum()))
         question, answer = question_and_answer(text)
-        shingles.append([kernels.shingles(kernels.word_hashes(x), SHINGLE) for x in (text, question, answer)])
+        parts = [kernels.word_hashes(x) for x in (text, question, answer)]
+        shingles.append([(min(SHINGLE, len(p)), kernels.shingles(p, SHINGLE)) for p in parts])
         ids.append(item)
         longest = max(longest, len(words))
     if not posts:
@@ -112,10 +115,10 @@ def build_index(rows: list[tuple[object, str]], idf: dict[int, float], mean_leng
 
 
 def _open_blocks(index: Index, terms: np.ndarray) -> np.ndarray:
-    """Blocks whose largest weights for these terms reach the threshold."""
+    """For every block, whether its largest weights for these terms reach the threshold."""
     at = _gather(index.block_start, terms)
     bound = np.bincount(index.block_of[at], index.block_weight[at], index.blocks)
-    return np.flatnonzero(bound >= RETRIEVE - 1e-9)
+    return bound >= RETRIEVE - 1e-9
 
 
 def leaks(index: Index, text: str | None) -> list[tuple[object, float]]:
@@ -126,7 +129,7 @@ def leaks(index: Index, text: str | None) -> list[tuple[object, float]]:
     place = np.searchsorted(index.terms, words)
     place[place == len(index.terms)] = 0
     known = index.terms[place] == words
-    if not len(_open_blocks(index, np.unique(place[known]))):
+    if not _open_blocks(index, np.unique(place[known])).any():
         return []
     half = max(64, index.longest)
     found: dict[int, float] = {}
@@ -134,28 +137,36 @@ def leaks(index: Index, text: str | None) -> list[tuple[object, float]]:
         end = begin + 2 * half
         terms = np.unique(place[begin:end][known[begin:end]])
         blocks = _open_blocks(index, terms)
-        if not len(blocks):
+        if not blocks.any():
             continue
         at = _gather(index.item_start, terms)
-        at = at[np.isin(index.item_of[at] // BLOCK, blocks)]
+        if not blocks.all():
+            at = at[blocks[index.item_of[at] // BLOCK]]
         share = np.bincount(index.item_of[at], index.weight[at], len(index.ids))
         hits = np.flatnonzero(share >= RETRIEVE - 1e-9)
         if not len(hits):
             continue
-        passage = kernels.shingles(words[begin:end], SHINGLE)
+        passage: dict[int, np.ndarray] = {}
         for i in hits.tolist():
-            if _verified(index.shingles[i], passage):
+            if _verified(index.shingles[i], words[begin:end], passage):
                 found[i] = max(found.get(i, 0.0), float(share[i]))
     return sorted(((index.ids[i], s) for i, s in found.items()), key=lambda x: (x[0] is None, x[0] or 0))
 
 
-def _verified(parts: list[np.ndarray], passage: np.ndarray) -> bool:
-    """Whether the passage has enough shingles of the question and of the answer, or of the whole item."""
+def _verified(parts: list[tuple[int, np.ndarray]], words: np.ndarray, passage: dict[int, np.ndarray]) -> bool:
+    """Whether a passage has enough shingles of the question and of the answer, or of the whole item.
 
-    def share(part: np.ndarray) -> float:
-        return 1.0 if not len(part) else float(np.isin(part, passage).mean())
+    ``passage`` keeps the shingles of its ``words`` by width.
+    """
 
-    whole, question, answer = (share(p) for p in parts)
+    def share(width: int, part: np.ndarray) -> float:
+        if not len(part):
+            return 1.0
+        if width not in passage:
+            passage[width] = kernels.shingles(words, width)
+        return float(np.isin(part, passage[width]).mean())
+
+    whole, question, answer = (share(*p) for p in parts)
     return whole >= WHOLE or (whole > 0 and question >= PART and answer >= PART)
 
 

@@ -273,6 +273,34 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.find_leaks(docs_of(spark, texts), frame.limit(0)).where("size(_leaks) > 0").count() == 0
 
 
+def test_leaks_of_short_parts(spark):
+    rng = random.Random(10)
+    items = [(i, sentence(rng, 14, 3000) + ".\n" + " ".join(f"answer{i}x{k}" for k in range(1 + i % 4))) for i in range(8)]
+    items += [(10 + i, " ".join(f"title{i}x{k}" for k in range(1 + i))) for i in range(4)]
+    items += [(20 + i, " ".join(f"ask{i}x{k}" for k in range(1 + i)) + ".\n" + sentence(rng, 20, 3000)) for i in range(4)]
+
+    def grams(w, width):
+        return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
+    def share(part, w):
+        width = min(5, len(part))
+        own = grams(part, width)
+        return len(own & grams(w, width)) / len(own) if own else 1.0
+
+    lead, want, texts = sentence(rng, 200, 3000), [], []
+    for i, t in items:
+        parts = [words(x, True) for x in (t, *decontam.question_and_answer(t))]
+        for at in (None, 0, len(t.split()) // 2, len(t.split()) - 1):
+            made = [x if k != at else "other" for k, x in enumerate(t.split())]
+            texts.append(f"{lead} {' '.join(made).upper()} {lead}")
+            whole, question, answer = (share(p, words(texts[-1], True)) for p in parts)
+            want.append([i] if whole >= 0.8 or (whole > 0 and question >= 0.5 and answer >= 0.5) else [])
+    assert all(want[0::4]) and [] in want[1::4] and all(want[2:32:4])
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: [x.item_id for x in r._leaks] for r in decontam.find_leaks(docs_of(spark, texts), frame).collect()}
+    assert [got[d] for d in range(len(texts))] == want
+
+
 # 10: shingle join
 
 
