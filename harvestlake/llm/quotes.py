@@ -4,7 +4,7 @@ A line that starts with ``>`` marks is quoted, one level per mark.  Neighbouring
 are a passage.  Passages and the own lines of every message are normalised (letter case, white
 space) and hashed; a passage is linked, within its conversation, to the latest earlier message whose
 whole own text, or else whose single line, has the hash.  A message replies to the message that its
-outermost linked passages quote last, else to the message before it.  Replies come after what they
+outermost linked passages quote last, else to the turn before it.  Replies come after what they
 answer, so the order of turns, numbered without gaps, is the reply order.
 
 Everything is DataFrame functions.  Latest-earlier-message and numbering are running values cut into
@@ -130,7 +130,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_chunk", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / CHUNK))
     inside = W.partitionBy("conv_id", "_chunk").orderBy("turn", "_row")
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    local = rows.select("*", F.sum("_copies").over(upto).alias("_upto"), F.lag("turn").over(inside).alias("_prev"))
+    turns_before = W.partitionBy("conv_id", "_chunk").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    local = rows.select("*", F.sum("_copies").over(upto).alias("_upto"), F.max("turn").over(turns_before).alias("_prev"))
     per_chunk = rows.groupBy("conv_id", "_chunk").agg(F.sum("_copies").alias("_n"), F.max("turn").alias("_last"))
     earlier = W.partitionBy("conv_id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = per_chunk.select(
@@ -147,15 +148,24 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """Conversations as mail: every message after the first carries the one before as a quote, with that one's quote nested."""
-    one = conversations.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.*")
+    """Conversations as mail: every message after the first carries the one before as a quote, with that one's quote nested.
+
+    All rows are kept.  Of several messages of one turn, the least by role and text is the one that later turns quote;
+    nothing comes a turn before or after a null turn.
+    """
+    one = conversations.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", F.col("m.text").alias("text"))
 
     def quoted(text: str, mark: str) -> Column:
         return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.concat(F.lit(mark), x)), "\n")
 
-    prev = one.select("conv_id", F.expr("turn + 1").alias("turn"), F.col("text").alias("_one"))
-    prev2 = one.select("conv_id", F.expr("turn + 2").alias("turn"), F.col("text").alias("_two"))
-    joined = one.join(prev, ["conv_id", "turn"], "left").join(prev2, ["conv_id", "turn"], "left")
+    def before(turns: int, name: str) -> DataFrame:
+        return one.where("turn IS NOT NULL").select(F.col("conv_id").alias(f"_conv{name}"), (F.col("turn") + turns).alias(f"_turn{name}"), F.col("text").alias(name))
+
+    def at(name: str) -> Column:
+        return F.col("conv_id").eqNullSafe(F.col(f"_conv{name}")) & (F.col("turn") == F.col(f"_turn{name}"))
+
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    joined = rows.join(before(1, "_one"), at("_one"), "left").join(before(2, "_two"), at("_two"), "left")
     parts = F.array(
         F.when(F.col("_two").isNotNull(), quoted("_two", ">> ")), F.when(F.col("_one").isNotNull(), quoted("_one", "> ")), F.coalesce("text", F.lit(""))
     )

@@ -184,6 +184,30 @@ def test_replies_follow_quotes(spark):
     assert got[2, 1].turn == 0 and got[None, 0].n_linked == 0
 
 
+def test_mail_keeps_every_message(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, "ua"[t % 2], f"conversation {c} turn {t}") for c in (1, 2, None) for t in range(5)]
+    rows += [(1, t, "x", f"second message of {t}") for t in (0, 2, 3)] + [(2, 3, "a", "conversation 2 turn 3")] * 2 + [(None, 0, "u", "conversation None turn 0")]
+    rows += [(3, None, "u", "no turn"), (3, None, "u", "no turn"), (3, None, "a", "none either"), (3, 0, "u", "start"), (3, 1, "a", "next")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    df = queries.QUERIES["op6_quotation_links"](spark, str(tmp_path))
+    got = [r.asDict() for r in df.collect()]
+    assert sorted(map(str, ((r["conv_id"], r["turn"], r["role"], r["text"]) for r in got))) == sorted(map(str, rows))
+    for r in got:
+        if r["turn"] is None:
+            assert (r["reply_to"], r["n_quoted"], r["n_linked"]) == (None, 0, 0) and r["position"] < 3
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = con.execute(queries.ORACLES["op6_quotation_links"])
+    names = [d[0] for d in cur.description]
+    want = [dict(zip(names, r, strict=True)) for r in cur.fetchall()]
+    # messages of one turn have no order among themselves, and the SQL numbers null turns last and gives them quotes
+    for cols in (["conv_id", "turn", "role", "text", "reply_to", "n_quoted", "n_linked"], ["conv_id", "turn", "position"]):
+        a, b = (sorted(str([r[c] for c in cols]) for r in x if r["turn"] is not None and (r["conv_id"] != 3 or "position" not in cols)) for x in (got, want))
+        assert a == b
+
+
 # 7: repeats
 
 
