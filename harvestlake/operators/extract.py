@@ -532,8 +532,8 @@ def page_meta_fields(pages: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- API hints and scripts
-def page_api_candidates(pages: DataFrame, limit: int = 20) -> DataFrame:
-    """API-like strings of each page, resolved, without trackers, scored and ranked."""
+def page_api_candidates(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """API-like strings of each page, resolved, without trackers, scored and ranked; ``limit`` keeps the best of a page."""
     found = F.regexp_extract_all(F.col("html"), F.lit("(?i)" + rules.API_HINT), 1)
     full = F.filter(
         F.array_distinct(F.transform(F.array_distinct(found), lambda x: urls.resolve(F.col("url"), x))),
@@ -550,7 +550,7 @@ def page_api_candidates(pages: DataFrame, limit: int = 20) -> DataFrame:
         )
 
     ranked = F.array_sort(F.transform(full, lambda x, i: F.struct((-points(x)).alias("neg"), i.alias("i"), x.alias("u"))))
-    return pages.select("page_id", "url", F.posexplode(F.slice(ranked, 1, limit)).alias("n", "_r")).select(
+    return pages.select("page_id", "url", F.posexplode(F.slice(ranked, 1, limit) if limit else ranked).alias("n", "_r")).select(
         "page_id", (F.col("n") + 1).alias("rank"), F.col("_r.u").alias("api_url"), (-F.col("_r.neg")).alias("score")
     )
 

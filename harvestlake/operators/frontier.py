@@ -270,6 +270,7 @@ def active_jobs(jobs: DataFrame, capacity: int) -> DataFrame:
     return jobs.agg(running.alias("active"), F.lit(capacity).alias("capacity"), (running < capacity).alias("has_room"))
 
 
-def top_per_key(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """Top k rows per key; the limit is applied on the map side first."""
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+def top_per_key(rows: DataFrame, keys: list[str], order: list, k: int | None) -> DataFrame:
+    """Top k rows per key, the limit is applied on the map side first; without ``k``, all rows with their rank."""
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k) if k else ranked

@@ -264,7 +264,7 @@ SELECT page_id, rank, u AS api_url, score FROM e WHERE rank <= 20""",
 def _hint_rows(t):
     from harvestlake.operators import pages as P
 
-    return t("product_pages").select("page_id", F.posexplode(F.slice(P.api_hints(F.col("html")), 1, 20)).alias("hint_no", "hint")).withColumn("hint_no", F.col("hint_no").cast("bigint"))
+    return t("product_pages").select("page_id", F.posexplode(P.api_hints(F.col("html"))).alias("hint_no", "hint")).withColumn("hint_no", F.col("hint_no").cast("bigint"))
 
 
 query(

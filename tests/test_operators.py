@@ -418,3 +418,21 @@ def test_processor_failures_stay_with_their_item(spark):
     frontier = df.select("page_id", F.lit("running").alias("status"))
     after = {r["page_id"]: r["status"] for r in FR.apply_outcomes(frontier, out).collect()}
     assert after == {1: "done", 2: "failed", 3: "queued"}
+
+
+def test_hints_and_candidates_beyond_twenty(spark):
+    from harvestlake.plans import extract_plan
+
+    df = page(spark, "".join(f'<i data-u="/api/item/{k}"></i>' for k in range(45)))
+    hints = extract_plan._hint_rows(lambda name: df).orderBy("hint_no").collect()
+    assert [(r["hint_no"], r["hint"]) for r in hints] == [(k, f"/api/item/{k}") for k in range(45)]
+    ranked = X.page_api_candidates(df).orderBy("rank").collect()
+    assert [(r["rank"], r["api_url"]) for r in ranked] == [(k + 1, f"https://shop.example/api/item/{k}") for k in range(45)]
+    assert X.page_api_candidates(df, limit=7).count() == 7
+
+
+def test_containers_beyond_five(spark):
+    html = "<body>" + "".join(f'<div class="kind-{c}"><a href="/x">t</a></div>' * 2 for c in "abcdefgh") + "</body>"
+    e = E.parse_elements(page(spark, html)).cache()
+    assert sorted(r["selector"] for r in E.infer_containers(e).collect()) == [f".kind-{c}" for c in "abcdefgh"]
+    assert E.infer_containers(e, top=5).count() == 5
