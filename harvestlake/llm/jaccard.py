@@ -1,12 +1,12 @@
 """Exact Jaccard join of word-shingle sets by skipping over index lists.
 
 Every set is ordered by one order of shingles, rare ones first, and its first shingles are indexed:
-two sets that link must share one of these.  Lists skip: a list with one set is dropped, and inside a
-list the sizes and the positions of a shingle bound what two sets can share, and the parities of
-hash parts bound what tells them apart, so whole blocks of entries are passed over.  Answers are
-derived: the first set of a list answers for the list, and once a set has joined a component, the
-component's members in its lists are no longer compared with it.
-Only pairs that lists leave between different components are verified.
+two sets that link must share one of these.  A list with one set is dropped.  Inside a list every pair
+is tested, nothing is skipped in blocks: the sizes and the positions of a shingle bound what two sets can
+share, and the parities of hash parts bound what tells them apart.  A list of k sets costs k * k tests.
+For components, each set is first compared with the first of its lists; then only pairs between
+different components are verified, so links inside a component are not listed.  ``count_links``
+verifies all pairs that lists leave and counts the links of every row.
 
 Verification is exact, in two steps: a sum per hash part of both sets shows a lower bound of
 their difference, and pairs that pass compare the whole sets, made anew from the texts.
@@ -238,13 +238,17 @@ def _answers(lists: DataFrame, percent: int) -> DataFrame:
     return lists.where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent: int) -> DataFrame:
-    """Pairs that lists leave between different components.
+def _cross_pairs(lists: DataFrame, groups: DataFrame | None, head: DataFrame, percent: int) -> DataFrame:
+    """Pairs that lists leave between different components; without ``groups``, all pairs.
 
     An entry's size and position say which sizes its partners can have, its parities how many
-    shingles tell it from a partner at least; all other entries of the list are skipped.
+    shingles tell it from a partner at least; every pair of a list is tested for these.
     """
-    placed = lists.select("tok", "pos", "sid", "n").join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = lists.select("tok", "pos", "sid", "n")
+    if groups is None:
+        placed = placed.withColumn("root", F.col("sid"))
+    else:
+        placed = placed.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
     words = [f"p{k}" for k in range(PARITY)]
     parities = head.where("n > 0").groupBy("sid").agg(*[F.first(w).alias(w) for w in words])
@@ -274,6 +278,22 @@ def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "t
     return placed.select("doc_id", "th", "n_shingles", F.coalesce("root", "sid").alias("root"))
 
 
+def count_links(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``n_links``, the number of other rows that a row links with, of every row.
+
+    Here pairs inside a component are compared too, so all links are verified; rows with one set count as links.
+    """
+    head = stored(index_sets(docs, shingle_levels(docs, width, text), width, percent, text), "sets-head")
+    pairs = stored(_cross_pairs(stored(_lists(head), "lists"), None, head, percent), "cross")
+    links = stored(_verified(pairs, head, docs, width, percent, text), "links")
+    sizes = stored(head.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("k")), "set-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("sid").alias("b"), "k"), "b").groupBy("a").agg(F.sum("k").alias("near"))
+    per_set = sizes.join(near, F.col("sid") == F.col("a"), "left").select("sid", (F.col("k") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    rows = head.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+    return rows.join(per_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach, of every row."""
     rows = stored(link_sets(docs, width, percent, text), "linked")

@@ -358,6 +358,17 @@ def test_components_equal_brute_force(spark, texts, width, percent):
     assert kept == [i for i, (n, c) in enumerate(want) if n == 0 or c == i]
 
 
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
+def test_link_counts_equal_brute_force(spark, texts, width, percent):
+    sets = []
+    for t in texts:
+        w = words(t, True)
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    want = [sum(1 for j, y in enumerate(sets) if i != j and x and 100 * len(x & y) >= percent * len(x | y)) for i, x in enumerate(sets)]
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard.count_links(docs_of(spark, texts), width, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == [(len(x), n) for x, n in zip(sets, want, strict=True)]
+
+
 def test_bounds_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     for size in (1, 7, 300):
