@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlake.llm import decontam, jaccard, ledger, mixing, pagediff, quotes, repeats, tokens, toxicity, warc
+from harvestlake.llm import decontam, jaccard, ledger, mixing, pagediff, quotes, repeats, spotsigs, tokens, toxicity, warc
 from harvestlake.llm.common import table
 from harvestlake.session import fresh_path
 
@@ -172,3 +172,9 @@ _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by three-word shingles at 0.9."""
     return jaccard.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@register("op12_spot_signatures")
+def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
