@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlake.llm import decontam, jaccard, ledger, mixing, pagediff, quotes, repeats, spotsigs, tokens, toxicity, warc
+from harvestlake.llm import dawg, decontam, jaccard, ledger, mixing, pagediff, quotes, repeats, spotsigs, tokens, toxicity, warc
 from harvestlake.llm.common import table
 from harvestlake.session import fresh_path
 
@@ -178,3 +178,9 @@ def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, with their faults and cheapest repair."""
+    return dawg.repair(table(spark, sf_dir, "conversations"))
