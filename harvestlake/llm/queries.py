@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlake.llm import dawg, decontam, jaccard, ledger, mixing, pagediff, quotes, repeats, spotsigs, tokens, toxicity, warc
+from harvestlake.llm import dawg, decontam, jaccard, ledger, mixing, pagediff, quotes, repeats, spotsigs, tokens, toxicity, warc, whitening
 from harvestlake.llm.common import table
 from harvestlake.session import fresh_path
 
@@ -174,6 +174,12 @@ def shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+@register("op11_whitened_components")
+def whitened_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the four leading components of their covariance, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), count=4)
+
+
 @register("op12_spot_signatures")
 def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
