@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from harvestlake.llm.common import stored
+
 #: Content words of a chain.
 CHAIN = 3
 #: Bits of an id that one window of neighbours spans.
-SPAN = 16
+SPAN = 11
 
 #: Anchors: fixed lists of common words, English, German, French, Spanish; and of Chinese and Japanese characters.
 ANCHORS = (
@@ -92,12 +94,15 @@ def next_ids(ids: DataFrame) -> DataFrame:
     Neighbours are found within blocks of ``2^SPAN`` ids, then among block ends, the ends of these, and so on, so no
     window holds more than ``2^SPAN`` rows, however many ids there are.
     """
-    level = ids.where("id IS NOT NULL").select("id").distinct().select(F.col("id").alias("lo"), F.col("id").alias("hi"))
+    ids = ids.select("id")
+    level = ids.where("id IS NOT NULL").distinct().select(F.col("id").alias("lo"), F.col("id").alias("hi"))
     # blocks of a level, and for each the greatest id below it, if its parent holds one
     found = None
     for up in range(SPAN, 64 + SPAN, SPAN):
         block = F.lit(0).cast("bigint") if up >= 64 else F.shiftright(F.col("lo"), up)
         here = level.withColumn("block", block).withColumn("below", F.lag("hi").over(W.partitionBy("block").orderBy("lo")))
+        if up == SPAN:
+            here = stored(here, "neighbours")  # all further levels read the ends of blocks
         links = here.where("below IS NOT NULL").select(F.col("lo").alias("id"), F.col("below").alias("next_id"))
         found = links if found is None else found.unionByName(links)
         level = here.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi")
@@ -115,13 +120,15 @@ def edited(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``text``, ``edited`` (its last third replaced by the start of the next document) and the signatures ``next_signatures`` of that document."""
     own = docs.select(*_key("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
-    facts = own.groupBy("key", "no_key").agg(F.max(third).alias("need"), F.min(F.xxhash64("text")).alias("seen"))
-    order = next_ids(docs.select(F.col("doc_id").alias("id")))
+    facts = stored(own.groupBy("key", "no_key").agg(F.max(third).alias("need"), F.min(F.xxhash64("text")).alias("seen")), "document-facts")
+    order = next_ids(facts.select(F.when(~F.col("no_key"), F.col("key")).alias("id")))
     # each id with what the document before it wants of it
     wants = order.select(*_key("id"), *[c.alias(n) for c, n in zip(_key("next_id"), ("next_key", "no_next"), strict=True)]).join(facts.select("key", "no_key", "need"), ["key", "no_key"])
     wants = wants.select(F.col("next_key").alias("key"), F.col("no_next").alias("no_key"), F.col("key").alias("for_key"), F.col("no_key").alias("for_none"), "need")
-    wants = wants.join(facts.select("key", "no_key", "seen"), ["key", "no_key"])
-    given = own.join(wants, ["key", "no_key"]).where(F.xxhash64("text") == F.col("seen"))
+    wants = stored(wants.join(facts.select("key", "no_key", "seen"), ["key", "no_key"]), "wanted")
+    # the same join for giving and taking, so that texts are dealt by id once
+    whole = own.join(wants, ["key", "no_key"])
+    given = whole.where(F.xxhash64("text").bitwiseXOR(F.col("seen")) == 0)  # no plain equality, which would become a key of the join
     given = given.select(F.col("for_key").alias("key"), F.col("for_none").alias("no_key"), F.expr("left(text, need)").alias("start"), signatures(F.col("text")).alias("next_signatures"))
     given = given.groupBy("key", "no_key").agg(F.first("start").alias("start"), F.first("next_signatures").alias("next_signatures"))
     rows = own.join(given, ["key", "no_key"])
