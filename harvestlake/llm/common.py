@@ -21,7 +21,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here and lost executors redo no more than this."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that is made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with marks in front until no column has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
 
 
 def payload(col: str | Column) -> Column:
@@ -86,6 +104,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     mark = None
     while True:
+        before = edges
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
@@ -93,6 +112,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(small, "a")
         star = joined.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = stored(star.distinct(), "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break

@@ -1,12 +1,21 @@
-"""Exact Jaccard join of word-shingle sets by skipping over index lists.
+"""Exact Jaccard join of word-shingle sets by skipping over index lists, with answers derived from similar sets.
 
 Every set is ordered by one order of shingles, rare ones first, and its first shingles are indexed:
-two sets that link must share one of these.  A list with one set is dropped.  Inside a list every pair
-is tested, nothing is skipped in blocks: the sizes and the positions of a shingle bound what two sets can
-share, and the parities of hash parts bound what tells them apart.  A list of k sets costs k * k tests.
-For components, each set is first compared with the first of its lists; then only pairs between
-different components are verified, so links inside a component are not listed.  ``count_links``
-verifies all pairs that lists leave and counts the links of every row.
+two sets that link must share one of these.  A list with one set is dropped.
+
+Each set is first compared with the first of its lists.  Sets that are near that one, even if they do not
+link, form its group, and the exact difference to it is kept.  From then on the answers of a member are
+derived from those of the set it resembles: the difference of two members is the difference of their
+differences, so no two members are compared by their whole sets and no list is read for them.  The
+differences are first taken again from what most members have in common, which makes them short.  Members whose
+differences together are below the threshold link without a look at them; any other pair that links must
+share an edit, so only members that share one of their rarest edits meet (``_derived``).
+
+Pairs of different groups and components are looked for in the lists.  A list is cut into blocks of sets of like size
+and blocks whose sizes cannot link are skipped; within a block, size and position of the shingle bound what two sets can
+share and the parities of hash parts bound what tells them apart.  The group that has most of a list never meets itself, so a
+list of near copies costs in proportion to its length and not the square.  For components, links inside a component
+are not listed.  ``count_links`` verifies all pairs that lists leave and counts the links of every row.
 
 Verification is exact, in two steps: a sum per hash part of both sets shows a lower bound of
 their difference, and pairs that pass compare the whole sets, made anew from the texts.
@@ -17,7 +26,7 @@ order gives the same links; a better one only gives shorter lists.
 Defined cases: a null, empty or blank text has no shingles and links with nothing, its component is
 its own id; repeated rows and equal sets share a component; null ids link like any row but name a
 component only if it has no other id (then null); an empty table gives an empty result; other
-columns are left out.
+columns are left out, or kept whatever their names (``keep_one``).
 """
 
 from __future__ import annotations
@@ -30,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from harvestlake.llm import kernels
-from harvestlake.llm.common import components, key_filter, may_join, stored
+from harvestlake.llm.common import components, discard, key_filter, may_join, stored
 from harvestlake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -180,8 +190,8 @@ def _lists(head: DataFrame) -> DataFrame:
     return lists.join(first.hint("merge"), "tok")
 
 
-def _verified(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
-    """The pairs (``a``, ``b``) of set ids that link."""
+def _near(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """The pairs (``a``, ``b``) of set ids that reach the threshold, sizes, and the shingles that one of the two has alone."""
     sigs = head.where("n > 0").select("sid", "n", "sig")
 
     @F.pandas_udf(T.BooleanType())
@@ -196,6 +206,7 @@ def _verified(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, pe
     left = pairs.join(few.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("s_a")), "a")
     both = left.join(few.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("s_b")), "b")
     close = stored(both.where(near("n_a", "s_a", "n_b", "s_b")).select("a", "b"), "close")
+    discard(few)
 
     # the whole sets of what is left, from one row of each
     needed = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -213,17 +224,101 @@ def _verified(pairs: DataFrame, head: DataFrame, docs: DataFrame, width: int, pe
     texts = hashed.where(hit("th")).join(rows.select("th"), "th", "left_semi")
     sets = stored(texts.dropDuplicates(["th"]).select("_text").mapInArrow(whole, "sid bigint, set binary"), "sets")
 
-    def links(batches):
+    def compare(batches):
         for batch in batches:
-            found = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            out = []
+            for a, b, x, y in zip(*(batch.column(i) for i in range(4)), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                found.append(len(np.intersect1d(x, y, assume_unique=True)) >= required_overlap(len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
+                apart = np.setxor1d(x, y, assume_unique=True)
+                if len(x) + len(y) - len(apart) >= 2 * required_overlap(len(x), len(y), percent):
+                    out.append((a.as_py(), b.as_py(), len(x), len(y), kernels.signed(apart)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "n_a", "n_b", "delta"])
 
     left = close.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(links, "a bigint, b bigint")
+    found = stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, n_a int, n_b int, delta array<bigint>"), "near")
+    discard(close, rows, sets)
+    return found
+
+
+def looser(percent: int) -> int:
+    """The threshold at which sets still share a group: about twice the difference that a link allows."""
+    c = 2 * (100 - percent) / (100 + percent)
+    return max(1, int(100 * (1 - c) / (1 + c)))
+
+
+def _apart(x, y):
+    """Elements of one of two arrays alone."""
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
+
+
+def _grouped(near: DataFrame) -> DataFrame:
+    """``grp``, ``sid``, ``n`` and ``delta`` (to the group's first set) of all members; the first set itself is one."""
+    own = near.groupBy(F.col("b").alias("sid")).agg(F.min("a").alias("grp"), F.min_by(F.struct("n_a", F.col("n_b").alias("n"), "delta"), "a").alias("m"))
+    own = stored(own.select("grp", "sid", "m.*"), "members")
+    for _ in range(2):  # a first set that is a member itself takes its members along, unless they would differ more than they are large
+        up = own.select(F.col("sid").alias("grp"), F.col("grp").alias("up"), F.col("n_a").alias("n_up"), F.col("delta").alias("to_up"))
+        moved = own.join(up, "grp", "left").withColumn("moved", F.when(F.col("up").isNotNull(), _apart(F.col("delta"), F.col("to_up"))))
+        go = F.coalesce(F.size("moved") <= F.col("n"), F.lit(False))
+        before, own = own, stored(moved.select(*[F.when(go, F.col(new)).otherwise(F.col(c)).alias(c) for c, new in (("grp", "up"), ("n_a", "n_up"), ("delta", "moved"))], "sid", "n"), "members")
+        discard(before)
+    firsts = own.groupBy("grp").agg(F.first("n_a").alias("n")).select("grp", F.col("grp").alias("sid"), "n", F.array().cast("array<bigint>").alias("delta"))
+    return own.select("grp", "sid", "n", "delta").unionByName(firsts)
+
+
+def _derived(members: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within groups from the differences alone; then components of these and ``links``.
+
+    With ``d`` the length of a difference and ``f = (100 + p) d - (100 - p) n``, two members link exactly if they share
+    ``(f(x) + f(y)) / 2 (100 + p)`` edits.  The member with the least ``f`` links with all that need share none.  Of
+    the others, each is tried with the least member that has one of its edits, and if that does not bring
+    it to the component of the least, with every member that has it among its rarest edits.  Why that is enough: such a
+    member shares more than ``(f(y) - f(least)) / 2 (100 + p)`` edits with any ``y`` it links with.
+    """
+    unit = 100 + percent
+    edits = members.select("grp", F.explode("delta").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("k"))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    common = edits.join(sizes, "grp").where("2 * k > size").groupBy("grp").agg(F.collect_list("e").alias("common"))
+    nothing = F.array().cast("array<bigint>")
+    rows = members.join(common, "grp", "left").withColumn("delta", _apart(F.col("delta"), F.coalesce("common", nothing)))
+    rows = stored(rows.select("grp", "sid", "delta", (unit * F.size("delta").cast("bigint") - (100 - percent) * F.col("n")).alias("f")), "differences")
+    least = stored(rows.groupBy("grp").agg(F.min(F.struct("f", "sid")).alias("l")).select("grp", F.col("l.f").alias("f0"), F.col("l.sid").alias("s0")), "least")
+    placed = rows.join(least, "grp")
+    sure = placed.where("f + f0 <= 0 AND sid <> s0").select(F.col("s0").alias("a"), F.col("sid").alias("b"))
+    open_ = placed.where("f + f0 > 0")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        x, y = (rows.select("grp", F.col("sid").alias(s), F.col("delta").alias(f"d_{s}"), F.col("f").alias(f"f_{s}")) for s in ("a", "b"))
+        shared = F.size(F.array_intersect("d_a", "d_b"))
+        return pairs.distinct().join(x, ["grp", "a"]).join(y, ["grp", "b"]).where(2 * unit * shared >= F.col("f_a") + F.col("f_b")).select("a", "b")
+
+    # edits of groups with open members
+    unsure = open_.select("grp").distinct()
+    each = rows.join(unsure, "grp", "left_semi").join(least, "grp").select("grp", "sid", "f", "f0", F.size("delta").alias("d"), F.explode("delta").alias("e"))
+    each = each.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("grp", "e"))).where("k > 1")
+    each = each.withColumn("first", F.min(F.struct("f", "sid")).over(W.partitionBy("grp", "e")))
+    each = stored(each, "edits")
+    tried = each.where("f + f0 > 0").select("grp", F.col("sid").alias("a"), F.col("first.sid").alias("b")).where("a <> b")
+    some = stored(sure.unionByName(linked(tried)), "derived")
+    roots = stored(components(links.unionByName(some)), "roots")
+
+    # edits that one member has alone are the rarest: they are not in ``each``, but they count as places
+    place = F.row_number().over(W.partitionBy("grp", "sid").orderBy("k", "e")) - 1
+    alone = F.col("d") - F.count(F.lit(1)).over(W.partitionBy("grp", "sid"))
+    at = each.select("grp", "sid", "f", "f0", "d", "e", (place + alone).alias("at"))
+    where_ = at.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    top = least.join(roots.select(F.col("node").alias("s0"), F.col("root").alias("r0")), "s0", "left").select("grp", F.coalesce("r0", "s0").alias("r0"))
+    where_ = stored(where_.join(top, "grp"), "places")
+    left = where_.where("f + f0 > 0 AND root <> r0").select("grp", "e", *[F.col(c).alias(f"{c}_a") for c in ("sid", "f", "d", "at", "root")])
+    right = where_.where(F.col("at") < F.col("d") - F.floor((F.col("f") - F.col("f0")) / (2 * unit))).select("grp", "e", *[F.col(c).alias(f"{c}_b") for c in ("sid", "f", "d", "at", "root")])
+    needed = (F.col("f_a") + F.col("f_b")) / (2 * unit)
+    meet = left.join(right, ["grp", "e"]).where((F.col("root_a") != F.col("root_b")) & (F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= needed))
+    more = stored(some.unionByName(linked(meet.select("grp", F.col("sid_a").alias("a"), F.col("sid_b").alias("b")))), "derived")
+    found = stored(components(links.unionByName(more)), "roots")
+    discard(rows, least, each, some, roots, where_)
+    return more, found
 
 
 def _most(n: str, pos: str, percent: int):
@@ -233,33 +328,41 @@ def _most(n: str, pos: str, percent: int):
 
 
 def _answers(lists: DataFrame, percent: int) -> DataFrame:
-    """Every list's first set with each set of the list that size and position allow."""
-    fits = (F.col("n") <= _most("n_a", "pos_a", percent)) & (F.col("n_a") <= _most("n", "pos", percent))
-    return lists.where((F.col("sid") != F.col("a")) & fits).select("a", F.col("sid").alias("b")).distinct()
+    """Every list's first set with each set of the list that its size allows."""
+    fits = (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")) & (F.col("sid") != F.col("a"))
+    return lists.where(fits).select("a", F.col("sid").alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, groups: DataFrame | None, head: DataFrame, percent: int) -> DataFrame:
-    """Pairs that lists leave between different components; without ``groups``, all pairs.
+def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent: int) -> DataFrame:
+    """Pairs that lists leave between sets of different ``root`` and ``grp``; ``groups`` has both by ``sid``, for sets that have any.
 
     An entry's size and position say which sizes its partners can have, its parities how many
-    shingles tell it from a partner at least; every pair of a list is tested for these.
+    shingles tell it from a partner at least.  Entries meet in blocks of like size, and the group that has most
+    of a list only meets the others.
     """
-    placed = lists.select("tok", "pos", "sid", "n")
-    if groups is None:
-        placed = placed.withColumn("root", F.col("sid"))
-    else:
-        placed = placed.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+    placed = lists.select("tok", "pos", "sid", "n").join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("grp", F.coalesce("grp", "sid"))
+    mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("grp").alias("g"), F.max("grp").alias("h")).where("lo <> hi AND g <> h").select("tok")
+    placed = placed.join(mixed, "tok", "left_semi")
+    main = placed.groupBy("tok", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "grp")).alias("m")).select("tok", F.col("m.grp").alias("main"))
     words = [f"p{k}" for k in range(PARITY)]
     parities = head.where("n > 0").groupBy("sid").agg(*[F.first(w).alias(w) for w in words])
-    rows = stored(placed.join(mixed, "tok", "left_semi").withColumn("most", _most("n", "pos", percent)).join(parities, "sid"), "mixed")
-    x, y = (rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("tok", "sid", "n", "root", "most", *words)]) for k in ("x", "y"))
+    block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n")
+    rows = placed.withColumn("most", _most("n", "pos", percent)).join(main, "tok").join(parities, "sid").withColumn("block", block)
+    rows = stored(rows, "mixed")
+    cols = ("sid", "n", "root", "grp", "most", *words)
+    # an entry of the main group waits in its block, the others visit the blocks beside theirs too
+    y = rows.select("tok", "block", *[F.col(c).alias(f"{c}_y") for c in cols], (F.col("grp") == F.col("main")).alias("is_main"))
+    near = (-1, 0, 1) if percent < 100 else (0,)
+    x = rows.where("grp <> main").select("tok", F.explode(F.array(*[F.col("block") + k for k in near])).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
     fits = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y"))
-    apart = (F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y"))
+    apart = (F.col("is_main") | (F.col("sid_x") < F.col("sid_y"))) & (F.col("root_x") != F.col("root_y")) & (F.col("grp_x") != F.col("grp_y"))
     differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
     both = F.col("n_x") + F.col("n_y")
-    near = differ <= both - 2 * F.ceil(percent * both / (100 + percent))
-    return x.join(y, (F.col("tok_x") == F.col("tok_y")) & apart & fits & near).select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
+    like = differ <= both - 2 * F.ceil(percent * both / (100 + percent))
+    pairs = x.join(y, ["tok", "block"]).where(apart & fits & like)
+    found = stored(pairs.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct(), "cross")
+    discard(rows)
+    return found
 
 
 def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
@@ -267,14 +370,25 @@ def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "t
     levels = shingle_levels(docs, width, text)
     head = stored(index_sets(docs, levels, width, percent, text), "sets-head")
     lists = stored(_lists(head), "lists")
-    stars = _answers(lists, percent)
-    links = stored(_verified(stored(stars, "stars"), head, docs, width, percent, text), "links-1")
-    groups = components(links)
-    rest = stored(_cross_pairs(lists, groups, head, percent), "cross")
-    links = links.unionByName(_verified(rest, head, docs, width, percent, text))
-    groups = components(links)
+    loose = looser(percent)
+    stars = stored(_answers(lists, loose), "stars")
+    near = _near(stars, head, docs, width, loose, text)
+    discard(stars)
+    allowed = (100 + percent) * F.size("delta").cast("bigint") <= (100 - percent) * (F.col("n_a") + F.col("n_b")).cast("bigint")
+    links = stored(near.where(allowed).select("a", "b"), "links-1")
+    members = stored(_grouped(near), "groups")
+    discard(near)
+    derived, roots = _derived(members, links, percent)
+    links = links.unionByName(derived)
+    of = members.groupBy("sid").agg(F.min("grp").alias("grp"))
+    groups = of.join(roots.withColumnRenamed("node", "sid"), "sid", "full")
+    cross = _cross_pairs(lists, groups, head, percent)
+    discard(lists, members)
+    found = _near(cross, head, docs, width, percent, text)
+    discard(cross)
+    last = components(links.unionByName(found.select("a", "b")))
     rows = head.select("doc_id", "th", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
-    placed = rows.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left")
+    placed = rows.join(last.select(F.col("node").alias("sid"), "root"), "sid", "left")
     return placed.select("doc_id", "th", "n_shingles", F.coalesce("root", "sid").alias("root"))
 
 
@@ -284,8 +398,10 @@ def count_links(docs: DataFrame, width: int = 3, percent: int = 90, text: str =
     Here pairs inside a component are compared too, so all links are verified; rows with one set count as links.
     """
     head = stored(index_sets(docs, shingle_levels(docs, width, text), width, percent, text), "sets-head")
-    pairs = stored(_cross_pairs(stored(_lists(head), "lists"), None, head, percent), "cross")
-    links = stored(_verified(pairs, head, docs, width, percent, text), "links")
+    lists = stored(_lists(head), "lists")
+    none = head.select("sid", F.col("sid").alias("grp"), F.col("sid").alias("root")).limit(0)
+    pairs = _cross_pairs(lists, none, head, percent)
+    links = _near(pairs, head, docs, width, percent, text).select("a", "b")
     sizes = stored(head.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("k")), "set-sizes")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(sizes.select(F.col("sid").alias("b"), "k"), "b").groupBy("a").agg(F.sum("k").alias("near"))
@@ -306,9 +422,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     """One row of each component, the one with the smallest id, with all its columns; rows without shingles stay."""
     rows = stored(link_sets(docs, width, percent, text), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    kept = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
-    plain = rows.where("root IS NULL").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    hashed = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th"))
-    one = hashed.join(kept, on).dropDuplicates(["_id", "_th"])
-    return one.select(*docs.columns).unionByName(hashed.join(plain, on).select(*docs.columns))
+    kept = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.th", F.lit(True).alias("one"))
+    plain = rows.where("root IS NULL").select("doc_id", "th", F.lit(False).alias("one")).distinct()
+    # the row travels as one struct, so its columns may have any names
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"))
+    chosen = whole.join(kept.unionByName(plain), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("th")))
+    copy = F.when(F.col("one"), F.lit(-1).cast("bigint")).otherwise(F.monotonically_increasing_id())
+    return chosen.withColumn("copy", copy).dropDuplicates(["own_id", "own", "copy"]).select("row.*")
