@@ -4,18 +4,21 @@ A table of labelled rows teaches a naive Bayes classifier on the first letters o
 every document a posterior over the domains.  Then each document gets a nonnegative rate so that the
 expected tokens of every domain, the sum of rate x tokens x posterior, meet their targets.  Rates start
 at 1 and follow projected gradient steps of the least-squares misfit.  A step needs only the
-domain totals, one small aggregate; a document's rate is the replay of the steps so far, so
+domain totals and their curvature, one small aggregate; a document's rate is the replay of the steps so far, so
 nothing is written between steps and rates never leave the executors.
 
-In the metric of a document's tokens, with each domain scaled by its mass, the step size 1 does not
-exceed the inverse of the largest curvature.
+The gradient is scaled by the curvature among documents with rates above 0, so a step that clips no rate meets all
+targets at once; a step that would not lower the misfit is halved, and when none does, plain gradient steps, each
+domain scaled by its mass, are tried.  When these do not lower it either, or by less than a billionth, it is at its
+least: targets that no rates can meet (a domain without documents) are missed by as little as possible.  What is
+missed is returned with every row, per domain, as a share of all tokens.
 
 All of it is DataFrame functions.  The classifier sees at most about ``max_rows`` labelled rows,
 chosen by a hash of their id, and keeps ``max_terms`` terms, so the model that is broadcast has a bound.
 
 Defined cases: null and empty texts have 0 tokens and the prior as posterior; null ids are mixed as
 any row; repeated rows get equal rates, each its own; labels that disagree count for the smallest
-domain name; without any labelled row the posterior is uniform; domains that no target names get
+domain name; labels of rows that are not there count for nothing; without any labelled row the posterior is uniform; domains that no target names get
 target 0; an empty table gives an empty result; other columns are left out.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +68,7 @@ def fit(
     share = min(1.0, max_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    priors = {r["domain"]: r["n"] for r in picked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    priors = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n_rows = sum(priors.values())
     log_prior = {d: _log((priors.get(d, 0) + 1) / (n_rows + len(domains))) for d in domains}
     # how many different words of the rows of each domain are a term
@@ -125,52 +129,69 @@ def _replayed(steps: list[list[float]], p: Column) -> Column:
     return F.aggregate(history, F.lit(1.0), step)
 
 
-def fit_rates(members: DataFrame, targets: list[float], max_steps: int = 60, tolerance: float = 1e-6) -> list[list[float]]:
-    """Steps of projected gradient descent on the squared misfit; ``targets`` are shares of all tokens.
+def fit_rates(members: DataFrame, targets: list[float], max_steps: int = 200, tolerance: float = 1e-6) -> tuple[list[list[float]], list[float]]:
+    """Steps of projected gradient descent on the squared misfit, and what each domain is off its target in the end.
 
-    Documents with one posterior have one rate, so the steps read the tokens per posterior, a table
-    whose size is bounded by the posterior's digits.  Each domain is scaled by its mass among rates
-    above 0; a step that would raise the misfit is halved.
+    ``targets`` and what is missed are shares of all tokens.  Documents with one posterior have one rate, so the
+    steps read the tokens per posterior, a table whose size is bounded by the posterior's digits.
+    ``max_steps`` only guards against a descent without end; reaching it raises an error.
     """
     k = len(targets)
     cells = stored(members.groupBy("p").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("w")), "cells")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def totals(steps: list[list[float]]) -> tuple[list[float], list[float]]:
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by domain, and the curvature: how a step on one domain moves another."""
         rated = cells.select("w", "p", _replayed(steps, F.col("p")).alias("r"))
-        sums = [F.sum(F.col("w") * F.col("r") * F.col("p")[i]) for i in range(k)] + [F.sum(F.when(F.col("r") > 0, F.col("w") * F.col("p")[i])) for i in range(k)]
+        sums = [F.sum(F.col("w") * F.col("r") * F.col("p")[i]) for i in range(k)]
+        sums += [F.sum(F.when(F.col("r") > 0, F.col("w") * F.col("p")[i] * F.col("p")[j])) for i, j in pairs]
         row = [float(x or 0.0) for x in rated.agg(*sums).first()]
-        return row[:k], row[k:]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return np.array(row[:k]), curve
 
-    mass, active = totals([])
-    everything = sum(mass)
+    mass, curve = totals([])
+    everything = mass.sum()
     if not everything:
-        return []
-    goal = [t * everything for t in targets]
+        return [], [0.0] * k
+    goal = np.array(targets) * everything
 
-    def misfit(m: list[float]) -> float:
-        return sum((x - g) ** 2 for x, g in zip(m, goal, strict=True))
+    def misfit(m: np.ndarray) -> float:
+        return float(np.square((m - goal) / everything).sum())
 
     steps: list[list[float]] = []
-    size = 1.0
     for _ in range(max_steps):
-        if max(abs(m - g) for m, g in zip(mass, goal, strict=True)) <= tolerance * everything or size < 1e-3:
+        off = mass - goal
+        if np.abs(off).max() <= tolerance * everything:
             break
-        step = [size * (m - g) / c if c > 1e-9 * everything else 0.0 for m, g, c in zip(mass, goal, active, strict=True)]
-        now, left = totals([*steps, step])
-        if misfit(now) < misfit(mass):
-            steps.append(step)
-            mass, active, size = now, left, min(1.0, 2 * size)
-        else:
-            size /= 2
-    return steps
+        heavy = np.where(curve.sum(axis=1) > 1e-9 * everything, curve.sum(axis=1), np.inf)
+        found = None
+        for way in (np.linalg.pinv(curve, rcond=1e-9, hermitian=True) @ off, off / heavy):
+            for halvings in range(7):
+                step = (way / 2**halvings).tolist()
+                now, left = totals([*steps, step])
+                if misfit(now) < misfit(mass) * (1 - 1e-9):
+                    found = step, now, left
+                    break
+            if found:
+                break
+        if not found:
+            break
+        steps.append(found[0])
+        mass, curve = found[1], found[2]
+    else:
+        raise RuntimeError(f"no end after {max_steps} steps, misfit {misfit(mass)}")
+    return steps, ((mass - goal) / everything).tolist()
 
 
 def mix(docs: DataFrame, domain_labels: DataFrame, targets: Mapping[str, float], max_rows: int = 20_000) -> DataFrame:
-    """``doc_id``, ``n_tokens``, one posterior ``p_<domain>`` per target and ``rate`` of every row."""
+    """``doc_id``, ``n_tokens``, one posterior ``p_<domain>`` per target, ``rate`` and what each domain is ``off_<domain>`` its target, of every row."""
     domains = sorted(targets)
     model, prior = fit(docs, domain_labels, domains, max_rows)
     members = stored(posteriors(docs, model, prior), "members")
-    steps = fit_rates(members, [targets[d] for d in domains])
+    steps, off = fit_rates(members, [targets[d] for d in domains])
     each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
     rated = members.select("doc_id", "n_tokens", "p", _replayed(steps, F.col("p")).alias("rate"), each.alias("_copy"))
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], F.round("rate", 6).alias("rate"))
+    shares = [F.lit(round(x, 9)).alias(f"off_{d}") for d, x in zip(domains, off, strict=True)]
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], F.round("rate", 6).alias("rate"), *shares)
