@@ -8,27 +8,32 @@ retrieved, then verified: a passage must have shingles of the question and of th
 of five words; a part with fewer words is looked up as one shingle of its own length, so a passage is
 also hashed at the lengths that its candidates need.
 
-The index travels with the tasks only up to ``max_index_rows`` postings.  A larger set of items is cut into shards
-of at most that many, and every passage queries every shard; document frequencies always come from
-all items.
+The index is built in a task and travels with the tasks that search it, only up to ``max_index_rows`` postings, as
+arrays.  A larger set of items is cut into shards of about that many, and every passage queries every shard; document
+frequencies always come from all items.
 
 Defined cases: null or empty texts and items match nothing; items with equal texts are all reported;
 null ids are kept; repeated rows are reported each; no items or no documents give results without
-leaks; other columns are left out.
+leaks; other columns are kept (``find_leaks`` replaces one called ``_leaks``, ``decontaminate`` none).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestlake.llm import kernels
+from harvestlake.llm.common import stored
 from harvestlake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -82,15 +87,15 @@ def _gather(start: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return first + np.arange(total)
 
 
-def build_index(rows: list[tuple[object, str]], idf: dict[int, float], mean_length: float) -> Index:
-    """Index of one shard of items; ``idf`` and ``mean_length`` are of all items."""
+def build_index(rows: list[tuple[object, str]], gains: dict[int, float], mean_length: float) -> Index:
+    """Index of one shard of items; ``gains`` (the inverse document frequencies) and ``mean_length`` are of all items."""
     ids, shingles, posts, longest = [], [], [], 1
     for item, text in rows:
         words = kernels.word_hashes(text)
         if not len(words):
             continue
         terms, tf = np.unique(words, return_counts=True)
-        gain = np.array([idf[int(t)] for t in kernels.signed(terms)])
+        gain = np.array([gains[t] for t in kernels.signed(terms).tolist()])
         w = gain * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_length))
         posts.append((terms, np.full(len(terms), len(ids)), w / w.sum()))
         question, answer = question_and_answer(text)
@@ -173,37 +178,48 @@ def _verified(parts: list[tuple[int, np.ndarray]], words: np.ndarray, passage: d
 _LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType())]))
 
 
-def _index_shards(items: DataFrame, max_index_rows: int):
-    """Indexes over bounded shards of the items, one at a time on the driver."""
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("length(text) > 0")
+def _index_shards(items: DataFrame, max_index_rows: int) -> list[bytes]:
+    """Indexes over bounded shards of the items, each built in a task from its items and their terms' weights."""
+    shard_of = F.xxhash64("item_id", "text")
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("length(text) > 0").select("item_id", "text", shard_of.alias("place"))
 
     def postings(batches):
         for b in batches:
-            terms = [kernels.signed(np.unique(w)) if len(w := kernels.word_hashes(t)) else np.empty(0, np.int64) for t in b["text"]]
-            sizes = [len(kernels.word_hashes(t)) for t in b["text"]]
+            words = [kernels.word_hashes(t) for t in b["text"]]
+            terms = [kernels.signed(np.unique(w)) if len(w) else np.empty(0, np.int64) for w in words]
+            sizes = [len(t) for t in terms]
             if terms:
-                yield pd.DataFrame({"term": np.concatenate(terms), "words": np.repeat(sizes, [len(t) for t in terms]), "first": np.concatenate([np.arange(len(t)) == 0 for t in terms])})
+                yield pd.DataFrame({"place": np.repeat(b["place"].to_numpy(), sizes), "term": np.concatenate(terms), "words": np.repeat([len(w) for w in words], sizes), "first": np.concatenate([np.arange(k) == 0 for k in sizes])})
 
-    post = rows.mapInPandas(postings, "term bigint, words bigint, first boolean")
+    post = rows.mapInPandas(postings, "place bigint, term bigint, words bigint, first boolean")
     total = post.agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("items"), F.sum(F.when(F.col("first"), F.col("words"))).alias("words")).first()
-    shards = max(1, -(-total["n"] // max_index_rows))
     if not total["items"]:
-        return
+        return []
     n, mean = total["items"], total["words"] / total["items"]
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    for k in range(shards):
-        part = rows.where(shard == k)
-        own = part.mapInPandas(postings, "term bigint, words bigint, first boolean").select("term").distinct()
-        df = post.join(own, "term").groupBy("term").agg(F.count("*").alias("df")).collect()
-        idf = {r["term"]: float(np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in df}
-        got = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        yield build_index(got, idf, mean)
+    shard = F.pmod("place", F.lit(max(1, -(-total["n"] // max_index_rows)))).cast("int").alias("shard")
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    gains = post.select(shard, "term").distinct().join(df, "term").select("shard", F.lit(None).cast("bigint").alias("item_id"), F.lit(None).cast("string").alias("text"), "term", "df")
+    texts = rows.select(shard, "item_id", "text", F.lit(None).cast("bigint").alias("term"), F.lit(None).cast("bigint").alias("df"))
+
+    def build(part: pa.Table) -> pa.Table:
+        is_term = pc.is_valid(part["term"])
+        terms = part.filter(is_term)
+        own = part.filter(pc.invert(is_term))
+        seen = terms["df"].to_numpy()
+        known = dict(zip(terms["term"].to_pylist(), np.log(1 + (n - seen + 0.5) / (seen + 0.5)).tolist(), strict=True))
+        got = sorted(zip(own["item_id"].to_pylist(), own["text"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        return pa.table({"index": pa.array([cloudpickle.dumps(build_index(got, known, mean))], pa.binary())})
+
+    built = stored(texts.unionByName(gains).groupBy("shard").applyInArrow(build, "index binary"), "indexes")
+    return [bytes(r["index"]) for r in built.collect()]
 
 
-def _searcher(index: Index):
+def _searcher(packed: bytes):
     @F.pandas_udf(_LEAK)
-    def search(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"item_id": i, "share": s} for i, s in leaks(index, t)] for t in texts], dtype=object)
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = cloudpickle.loads(packed)
+        for texts in parts:
+            yield pd.Series([[{"item_id": i, "share": s} for i, s in leaks(index, t)] for t in texts], dtype=object)
 
     return search
 
@@ -218,4 +234,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", max_index_
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    return find_leaks(docs, items, text).where(F.size("_leaks") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return find_leaks(rows, items).where(F.size("_leaks") == 0).select("row.*")
