@@ -134,10 +134,6 @@ def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def reject(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with all their columns."""
-    judged = docs.select(F.struct(*docs.columns).alias("_row"), _measure(F.col(text)).alias("_m")).select("_row", "_m.*")
-    bad = F.lit(False)
-    for name, cond in RULES:
-        if name in POLICIES[policy]:
-            bad = bad | F.expr(cond)
-    return judged.where(~bad).select("_row.*")
+    """The documents that the policy keeps by the bits of their ledger, with all their columns, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return ledger(rows, keep=("row",)).where(~fails(policy)).select("row.*")

@@ -99,12 +99,31 @@ def ranges(data: np.ndarray, marks: np.ndarray, length: int) -> tuple[np.ndarray
     return place, far, near, kernels.mix(core + k.astype(np.uint64)), kernels.mix(one + (near * length + far).astype(np.uint64)), two
 
 
-def cut(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[int, int, bytes]:
-    """Bytes and runs removed, and the bytes kept, when windows starting in the given ranges go."""
+def _whole_words(data: np.ndarray, start: int, end: int) -> int:
+    """Words of a text that lie wholly between two places."""
+    space = kernels._space[data[max(0, start - 1) : end + 1]]
+    if start == 0:
+        space = np.concatenate(([True], space))
+    if end == len(data):
+        space = np.append(space, True)
+    breaks = np.flatnonzero(space)
+    return int((np.diff(breaks) > 1).sum())
+
+
+def cut(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, min_words: int = 0) -> tuple[int, int, bytes]:
+    """Bytes and runs removed, and the bytes kept, when windows starting in the given ranges go.
+
+    Runs of fewer than ``min_words`` whole words stay.
+    """
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, first, 1)
     np.add.at(edge, last + length, -1)
     gone = np.cumsum(edge)[:-1] > 0
+    if min_words:
+        turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        for a, b in zip(turns[::2], turns[1::2], strict=True):
+            if _whole_words(data, a, b) < min_words:
+                gone[a:b] = False
     return int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1)), data[~gone].tobytes()
 
 
@@ -215,7 +234,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, text: str = "text") -
     return work.select("h", "raw"), spans, copies
 
 
-def _cut_texts(work: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+def _cut_texts(work: DataFrame, spans: DataFrame, length: int, min_words: int = 0) -> DataFrame:
     """``h``, ``n_removed``, ``n_spans`` and the ``kept`` bytes of texts with repeated ranges."""
     lists = spans.groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -224,7 +243,7 @@ def _cut_texts(work: DataFrame, spans: DataFrame, length: int) -> DataFrame:
         rows = []
         for r, s in zip(raw, ranges_, strict=True):
             lo, hi = (np.array([x[k] for x in s], np.int64) for k in ("lo", "hi"))
-            rows.append(cut(np.frombuffer(r, np.uint8), lo, hi, length))
+            rows.append(cut(np.frombuffer(r, np.uint8), lo, hi, length, min_words))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
 
     return work.join(lists, "h").select("h", run("raw", "spans").alias("c")).select("h", "c.*")
@@ -245,28 +264,30 @@ def report_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", n_chars: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", n_chars: str | None = None, min_words: int = 0) -> DataFrame:
     """The documents with the bytes left to them, all columns kept; documents with nothing left go.
 
     Where a removed run starts or ends inside a character, the rest of that character goes too.
-    ``n_chars`` names a column to set to the new number of characters.
+    With ``min_words``, only runs of at least so many whole words go, so ``length`` may be short enough for
+    passages that are counted in words.  ``n_chars`` names a column to set to the new number of characters.
     """
     work, spans, copies = repeated_ranges(docs, length, text)
-    touched = _cut_texts(work, spans, length).select("h", _decode("kept").alias("_kept"))
-    facts = copies.select("h", "copies").where("copies > 1").select("h", F.lit("").alias("_kept"), F.lit(True).alias("_copy"))
-    changes = stored(touched.withColumn("_copy", F.lit(False)).unionByName(facts).groupBy("h").agg(F.max("_copy").alias("_copy"), F.max("_kept").alias("_kept")).withColumn("hk", F.xxhash64("h")), "changes")
+    touched = _cut_texts(work, spans, length, min_words).where("n_removed > 0").select("h", _decode("kept").alias("kept"), F.lit(False).alias("copy"))
+    copied = copies.where("copies > 1").select("h", F.lit("").alias("kept"), F.lit(True).alias("copy"))
+    changes = touched.unionByName(copied).groupBy("h").agg(F.max("copy").alias("copy"), F.max("kept").alias("kept"))
+    changes = stored(changes.withColumn("hk", F.xxhash64("h")), "changes")
     hit = may_join(key_filter(changes, "hk"))
-    rows = docs.withColumn("_h", digest(text)).withColumn("_hit", hit(F.xxhash64("_h")))
-    same = rows.where("NOT _hit").select(*docs.columns)
-    joined = rows.where("_hit").join(changes.select("h", "_copy", "_kept"), F.col("_h") == F.col("h"), "left")
-    gone = F.col("_copy") & (F.octet_length(payload(text)) >= length)
-    cut_short = F.coalesce(~F.col("_copy"), F.lit(False))
-    changed = joined.where(~F.coalesce(gone | (cut_short & (F.col("_kept") == "")), F.lit(False)))
-    new = {text: F.when(cut_short, F.col("_kept")).otherwise(F.col(text))}
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest(text).alias("own")).withColumn("hit", hit(F.xxhash64("own")))
+    joined = rows.where("hit").join(changes.select("h", "copy", "kept"), F.col("own") == F.col("h"), "left")
+    old = F.col("row").getField(text)
+    long = (F.octet_length(payload(old)) >= length) & (F.regexp_count(F.coalesce(old, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
+    cut_short = F.coalesce(~F.col("copy"), F.lit(False))
+    changed = joined.where(~F.coalesce((F.col("copy") & long) | (cut_short & (F.col("kept") == "")), F.lit(False)))
+    new = F.col("row").withField(text, F.col("kept"))
     if n_chars:
-        new[n_chars] = F.when(cut_short, F.length("_kept").cast("bigint")).otherwise(F.col(n_chars))
-    cols = [new.get(c, F.col(c)).alias(c) for c in docs.columns]
-    return same.unionByName(changed.select(*cols))
+        new = new.withField(n_chars, F.length("kept").cast(docs.schema[n_chars].dataType))
+    return rows.where("NOT hit").select("row.*").unionByName(changed.select(F.when(cut_short, new).otherwise(F.col("row")).alias("row")).select("row.*"))
 
 
 @F.pandas_udf(T.StringType())
