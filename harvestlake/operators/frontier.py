@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from harvestlake import rules
 from harvestlake.functions import urls
 from harvestlake.operators import scans
-from harvestlake.session import materialize
+from harvestlake.session import fresh_path, materialize
 
 
 def frontier_rows(candidates: DataFrame, url: str = "url") -> DataFrame:
@@ -224,25 +224,39 @@ def politeness_schedule(requests: DataFrame, delay_us: Column, key: str = "domai
 
 
 # ---------------------------------------------------------------- lineage
-def crawl_lineage(seeds: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def crawl_lineage(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, buckets: int = 64) -> DataFrame:
     """Depth and first discoverer of every url reachable from the seeds.
 
-    ``seeds`` has url; ``edges`` has parent, child.  One anti-join per level; each level is
-    written to the shared folder, so lineage stays flat and lost executors do not restart
-    the walk.  Ends when a level finds nothing new.
+    ``seeds`` has url; ``edges`` has parent, child.  Edges and visited urls lie in buckets of the url's hash in the
+    shared folder, a folder per level, so every level's plan is the same two reads, and a narrow level only reads
+    the buckets of its own urls.  Ends when a level finds nothing new; ``max_depth`` ends it earlier.
     """
-    seen = materialize(
-        seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit("").alias("parent_url")), "lineage"
-    )
-    level, every = seen, seen
-    for depth in range(1, max_depth + 1):
-        reached = edges.join(level.select(F.col("url").alias("parent")), "parent").groupBy("child").agg(F.min("parent").alias("parent_url"))
-        fresh = reached.join(every.select(F.col("url").alias("child")), "child", "left_anti")
-        level = materialize(fresh.select(F.col("child").alias("url"), F.lit(depth).alias("depth"), "parent_url"), "lineage")
+    spark = seeds.sparkSession
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
+    by_parent, visited = fresh_path(spark, "lineage-edges"), fresh_path(spark, "lineage-visited")
+    edges.select("parent", "child", bucket("parent")).write.partitionBy("bucket").parquet(by_parent)
+    all_edges = spark.read.schema("parent string, child string, bucket int").parquet(by_parent)
+
+    def keep(level: DataFrame, depth: int) -> DataFrame:
+        at = f"{visited}/level={depth}"
+        level.select("url", F.lit(depth).alias("depth"), "parent_url", bucket("url")).repartition("bucket").write.partitionBy("bucket").parquet(at)
+        return spark.read.schema("url string, depth int, parent_url string, bucket int").parquet(at)
+
+    def among(df: DataFrame, rows: DataFrame) -> DataFrame:
+        """The buckets of a table that rows fall into; at most ``buckets`` numbers reach the driver."""
+        return df.where(F.col("bucket").isin([r["bucket"] for r in rows.select("bucket").distinct().collect()]))
+
+    level, depth = keep(seeds.select("url", F.lit("").alias("parent_url")).distinct(), 0), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        reached = among(all_edges, level).join(level.select(F.col("url").alias("parent")), "parent").groupBy("child").agg(F.min("parent").alias("parent_url"))
+        reached = materialize(reached.select(F.col("child").alias("url"), "parent_url", bucket("child")), "lineage")
+        known = among(spark.read.schema("url string, bucket int").parquet(visited), reached)
+        fresh = reached.drop("bucket").join(known.select("url"), "url", "left_anti")
+        level = keep(fresh, depth)
         if level.isEmpty():
-            return every
-        every = every.unionByName(level)
-    raise RuntimeError("crawl graph deeper than max_depth")
+            break
+    return spark.read.schema("url string, depth int, parent_url string").parquet(visited).select("url", "depth", "parent_url")
 
 
 # ---------------------------------------------------------------- lists

@@ -424,12 +424,14 @@ def fetch_metrics(log: DataFrame) -> DataFrame:
     return grouped.select("run_id", kind.alias("metric"), value.alias("key"), "requests", "ok_count", "fail_count", "retries", "max_active")
 
 
-def fetch_errors(log: DataFrame, per_run: int | None = None) -> DataFrame:
-    """Error texts of each run in order; with ``per_run`` only the first ones, cut before the shuffle."""
-    w = W.partitionBy("run_id").orderBy("ts_us", "request_id")
+def fetch_errors(log: DataFrame, per_run: int | None = None, chunk_us: int = scans.HOUR_US) -> DataFrame:
+    """Error texts of each run in order, numbered over time chunks; with ``per_run`` only the first ones, cut before the shuffle."""
     failed = log.where("NOT ok AND error <> ''").select("run_id", "ts_us", "request_id", "error")
-    numbered = failed.withColumn("error_no", F.row_number().over(w)).drop("ts_us")
-    return numbered.where(F.col("error_no") <= per_run) if per_run else numbered
+    if per_run:
+        w = W.partitionBy("run_id").orderBy("ts_us", "request_id")
+        return failed.withColumn("error_no", F.row_number().over(w)).drop("ts_us").where(F.col("error_no") <= per_run)
+    numbered = scans.running(failed, ["run_id"], ["ts_us", "request_id"], scans.time_chunk("ts_us", chunk_us), sums={"error_no": F.lit(1)})
+    return numbered.select("run_id", "request_id", "error", F.col("error_no").cast("int").alias("error_no"))
 
 
 def failure_histogram(*sources: DataFrame) -> DataFrame:

@@ -131,10 +131,15 @@ def run_quality(records: DataFrame, failed: DataFrame | None = None, by: str = "
         out = out.join(failed.groupBy(by).agg(F.count_distinct("url").alias("failed_url_count")), by, "left").fillna(0, ["failed_url_count"])
     else:
         out = out.withColumn("failed_url_count", F.lit(0).cast("bigint"))
+    return rates(out, by)
+
+
+def rates(counts: DataFrame, by: str = "run_id") -> DataFrame:
+    """Totals with their duplicate rate and one completeness column per field, from the counts of each."""
     total = F.col("total_records")
-    return out.select(
+    return counts.select(
         by, "total_records", "duplicate_count", "failed_url_count", _share(F.col("duplicate_count"), total).alias("duplicate_rate"),
-        *[_share(F.col(f"c_{f}"), total).alias(f"r_{f}") for f in filled],
+        *[_share(F.col(f"c_{f}"), total).alias(f"r_{f}") for f in COMPLETENESS_FIELDS],
     )
 
 

@@ -4,13 +4,11 @@ A plain window puts a whole group into one task, which fails when one endpoint o
 holds a large part of the log.  Here a group is cut into chunks by a caller-given
 expression that follows the row order (usually a span of time).  Windows run inside
 (group, chunk); one small row per chunk carries sums and maxima across chunk borders.
-The log is shuffled once, on (group, chunk).
+The log is shuffled once, on (group, chunk); only the chunk rows move for the carry.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -24,20 +22,19 @@ def time_chunk(ts_us: str = "ts_us", width_us: int = HOUR_US) -> Column:
 
 
 def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Rows with their chunk; rows without a key are a group of their own."""
-    return df.withColumn("_chunk", F.coalesce(chunk, F.lit(-1).cast("bigint")))
+    """Rows with their chunk and their keys as one struct, which is never null: rows without a key are a group of their own."""
+    return df.withColumn("_chunk", F.coalesce(chunk, F.lit(-1).cast("bigint"))).withColumn("_key", F.struct(*keys))
 
 
-def _windows(keys: list[str], order: list[str]):
-    within = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+def _windows(order: list[str]):
+    within = W.partitionBy("_key", "_chunk").orderBy(*order)
+    earlier = W.partitionBy("_key").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     return within, within.rowsBetween(W.unboundedPreceding, 0), earlier
 
 
-def _attach(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    names = {k: f"_key_{i}" for i, k in enumerate([*keys, "_chunk"])}
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
-    return local.join(carry.withColumnsRenamed(names), same)
+def _attach(local: DataFrame, carry: DataFrame) -> DataFrame:
+    """Each row with what its chunk gets from earlier ones; rows already lie by these columns, so they do not move again."""
+    return local.join(carry, ["_key", "_chunk"])
 
 
 def running(
@@ -51,7 +48,7 @@ def running(
 ) -> DataFrame:
     """Add running sums and maxima up to each row, and values of the row before it."""
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
-    within, upto, earlier = _windows(keys, order)
+    within, upto, earlier = _windows(order)
     local = _chunked(df, keys, chunk)
     local = local.select(
         "*",
@@ -61,20 +58,20 @@ def running(
     )
     local = local.select("*", *[F.lag(f"_v_{n}").over(within).alias(f"_p_{n}") for n in lags])
     last = F.struct(*order)
-    per_chunk = local.groupBy(*keys, "_chunk").agg(
+    per_chunk = local.groupBy("_key", "_chunk").agg(
         F.count("*").alias("_rows"),
         *[F.max_by(f"_s_{n}", last).alias(f"_cs_{n}") for n in sums],
         *[F.max(f"_m_{n}").alias(f"_cm_{n}") for n in maxes],
         *[F.max_by(f"_v_{n}", last).alias(f"_cv_{n}") for n in lags],
     )
     carry = per_chunk.select(
-        *keys,
+        "_key",
         "_chunk",
         *[F.sum(f"_cs_{n}").over(earlier).alias(f"_bs_{n}") for n in sums],
         *[F.max(f"_cm_{n}").over(earlier).alias(f"_bm_{n}") for n in maxes],
         *[F.last(f"_cv_{n}").over(earlier).alias(f"_bv_{n}") for n in lags],
     )
-    joined = _attach(local, carry, keys)
+    joined = _attach(local, carry)
     return joined.select(
         *df.columns,
         *[(F.col(f"_s_{n}") + F.coalesce(F.col(f"_bs_{n}"), F.lit(0))).alias(n) for n in sums],
@@ -85,13 +82,13 @@ def running(
 
 def streak(df: DataFrame, keys: list[str], order: list[str], chunk: Column, breaks: Column, name: str, index: str | None = None) -> DataFrame:
     """Add the number of rows since the last row for which ``breaks`` holds, 0 on such a row."""
-    within, upto, earlier = _windows(keys, order)
+    within, upto, earlier = _windows(order)
     local = _chunked(df, keys, chunk).withColumn("_rn", F.row_number().over(within))
     local = local.withColumn("_at", F.max(F.when(breaks, F.col("_rn"))).over(upto))
-    per_chunk = local.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.max("_at").alias("_last"))
+    per_chunk = local.groupBy("_key", "_chunk").agg(F.count("*").alias("_n"), F.max("_at").alias("_last"))
     counted = per_chunk.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    carry = counted.withColumn("_hit", F.max(F.col("_before") + F.col("_last")).over(earlier)).select(*keys, "_chunk", "_before", "_hit")
-    joined = _attach(local, carry, keys)
+    carry = counted.withColumn("_hit", F.max(F.col("_before") + F.col("_last")).over(earlier)).select("_key", "_chunk", "_before", "_hit")
+    joined = _attach(local, carry)
     place = F.col("_before") + F.col("_rn")
     since = F.when(F.col("_at").isNotNull(), F.col("_rn") - F.col("_at")).otherwise(place - F.coalesce(F.col("_hit"), F.lit(0)))
     extra = [place.cast("bigint").alias(index)] if index else []
@@ -104,13 +101,13 @@ def spaced_starts(df: DataFrame, keys: list[str], order: list[str], chunk: Colum
     start_i = max(arrival_i, start_{i-1} + delay) has the closed form
     max over j ≤ i of (arrival_j − j·delay) + i·delay, a running maximum.
     """
-    within, upto, earlier = _windows(keys, order)
+    within, upto, earlier = _windows(order)
     local = _chunked(df, keys, chunk).withColumn("_rn", F.row_number().over(within)).withColumn("_d", delay)
     local = local.withColumn("_m", F.max(F.col(arrival) - F.col("_rn") * F.col("_d")).over(upto))
-    per_chunk = local.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"), F.max("_d").alias("_cd"))
+    per_chunk = local.groupBy("_key", "_chunk").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"), F.max("_d").alias("_cd"))
     counted = per_chunk.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    carry = counted.withColumn("_g", F.max(F.col("_top") - F.col("_before") * F.col("_cd")).over(earlier)).select(*keys, "_chunk", "_before", "_g")
-    joined = _attach(local, carry, keys)
+    carry = counted.withColumn("_g", F.max(F.col("_top") - F.col("_before") * F.col("_cd")).over(earlier)).select("_key", "_chunk", "_before", "_g")
+    joined = _attach(local, carry)
     here = F.col("_m") + F.col("_rn") * F.col("_d")
     before = F.col("_g") + (F.col("_before") + F.col("_rn")) * F.col("_d")
     return joined.select(*df.columns, F.greatest(here, before).alias(name))

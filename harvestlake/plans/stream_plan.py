@@ -39,9 +39,11 @@ s AS (SELECT *, sum(brk) OVER (PARTITION BY domain ORDER BY ts_us ROWS UNBOUNDED
 SELECT * FROM (SELECT min(ts_us) AS start_us, max(ts_us) + 300000000 AS end_us, domain, count(*) AS requests, count(*) FILTER (ok) AS ok_count FROM s GROUP BY domain, sid) x WHERE end_us <= {_CLOSED}""",
     FL,
 )(lambda t: ST.run_to_table(ST.stream_crawl_sessions(t.stream("fetch_log")), "sessions"))
-query("stream_dedupe_records")(
-    lambda t: ST.run_to_table(ST.stream_dedupe_records(t.stream("fetch_log").select("ts", "domain", "k", "request_id"), ["domain", "k"]), "dedupe").select("domain", "k", "request_id")
-)
+query(
+    "stream_dedupe_records",
+    "SELECT domain, k, arg_min(request_id, (ts_us, request_id)) AS request_id, min(ts_us) AS ts_us, count(*) - 1 AS dropped FROM fetch_log GROUP BY domain, k",
+    FL,
+)(lambda t: ST.stream_dedupe_records(t.stream("fetch_log").select("ts_us", "domain", "k", "request_id"), ["domain", "k"], ["ts_us", "request_id"]))
 query("stream_endpoint_cooldown", f"WITH {OP._COOL} SELECT endpoint, failure_count AS failures, cooldown_until_us, last_used_us AS last_us, success_count FROM st", FL)(
     lambda t: ST.stream_endpoint_cooldown(t.stream("fetch_log"))
 )
@@ -114,8 +116,9 @@ SELECT format, l1, count(*) AS rows, count(price) AS priced, sum(length(name) +
 
 def _logs(t, name, rows):
     path = fresh_path(t.spark, name)
-    sinks.append_log(rows, path)
-    return t.spark.read.schema(rows.schema).parquet(path).select(*sorted(rows.columns))
+    for _ in range(2):  # a repeated write leaves one copy
+        sinks.append_log(rows, path, batch=0)
+    return sinks.read_log(t.spark, path, rows.schema).select(*sorted(rows.columns))
 
 
 query("append_item_log", "SELECT run_id, request_id, 'purchase' AS record_type, 'd' || k AS dedupe_key FROM fetch_log WHERE records > 0", FL)(
@@ -138,7 +141,7 @@ def _saved(t):
     sinks.save_task_result(t.spark, path, items)
     again = items.where("status = 'failed'").select("task_id", "item_index", F.upper("title").alias("title"), F.lit("").alias("link"), "l_partkey", "l_suppkey", F.lit("retried").alias("status"))
     sinks.save_task_result(t.spark, path, again)
-    return t.spark.read.parquet(path).drop("bucket")
+    return sinks.read_tasks(t.spark, path, items.schema)
 
 
 query(

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it exists, in which case nothing changes and the answer is no."""
+    fs, at = _file(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError:
+        if fs.exists(at):
+            return False
+        raise
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    return True
+
+
+def small_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Names and texts of the small files in a folder; none if there is no such folder."""
+    fs, at = _file(spark, folder)
+    if not fs.exists(at):
+        return {}
+    out = {}
+    for status in fs.listStatus(at):
+        stream = fs.open(status.getPath())
+        try:
+            out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the shared folder."""
+    fs, at = _file(spark, path)
+    fs.delete(at, True)

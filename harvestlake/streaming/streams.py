@@ -8,22 +8,17 @@ written under the batch number, so a repeated batch rewrites its own result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harvestlake import rules
 from harvestlake.operators import oplog, quality, scans
-from harvestlake.session import fresh_path, ship_with_tasks
-
-ship_with_tasks(__name__)
+from harvestlake.session import fresh_path, materialize
 
 WATERMARK = "10 minutes"
-_SLOW_MS = rules.PRESSURE["latency_warn_ms"]  # plain number: the step below runs in workers
 
 
 def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
@@ -71,14 +66,6 @@ def stream_crawl_sessions(log: DataFrame, gap: str = "300 seconds") -> DataFrame
     return agg.select(F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "domain", "requests", "ok_count")
 
 
-def stream_dedupe_records(rows: DataFrame, keys: list[str], delay: str = WATERMARK) -> DataFrame:
-    """One row per key; a key is remembered as long as the watermark delay.
-
-    Of copies inside one micro-batch any one may stay.
-    """
-    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-
-
 # ---------------------------------------------------------------- carried state
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that micro-batches write, empty before the first of them."""
@@ -118,6 +105,80 @@ class StateTable:
         return self.spark.createDataFrame([], self.schema).columns
 
 
+class DeltaLog:
+    """Partial results of micro-batches in a table that only grows; reading folds them.
+
+    A repeated micro-batch rewrites its own part.  Every ``every`` batches the parts so far are folded into a
+    base, so a read meets one base and at most ``every`` parts, however long the stream runs.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: str, fold: Callable[[DataFrame], DataFrame], path: str | None = None, every: int = 16):
+        self.spark, self.schema, self.fold, self.path, self.every = spark, schema, fold, path or fresh_path(spark, label), every
+
+    def add(self, batch: int, part: DataFrame) -> None:
+        part.write.mode("overwrite").parquet(f"{self.path}/parts/batch={batch}")
+        if (batch + 1) % self.every == 0:
+            self.upto(batch).write.mode("overwrite").parquet(f"{self.path}/bases/batch={batch}")
+
+    def upto(self, batch: int | None = None) -> DataFrame:
+        """Everything up to a batch, or so far; a base that this or a later batch is still to rewrite is not read."""
+        bases, parts = (read_or_empty(self.spark, f"{self.path}/{x}", f"{self.schema}, batch long") for x in ("bases", "parts"))
+        if batch is not None:
+            bases, parts = bases.where(F.col("batch") < batch), parts.where(F.col("batch") <= batch)
+        base = bases.agg(F.max("batch").alias("b")).first()["b"]
+        rows = parts if base is None else bases.where(F.col("batch") == base).unionByName(parts.where(F.col("batch") > base))
+        return self.fold(rows.drop("batch"))
+
+
+class SeenKeys:
+    """Keys met so far, in buckets of their hash, a folder for each micro-batch.
+
+    A micro-batch is joined only with the buckets that its own keys fall into, and only with earlier
+    batches, so a repeated one gives what it gave before.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: str, path: str | None = None, buckets: int = 64):
+        self.spark, self.schema, self.path, self.buckets = spark, schema, path or fresh_path(spark, label), buckets
+        self.keys = [f.strip().split()[0] for f in schema.split(",")]
+
+    def fresh(self, batch: int, rows: DataFrame) -> DataFrame:
+        """The distinct keys of the rows that no earlier batch had; they are seen from now on."""
+        own = rows.select(*self.keys).distinct().withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        own = materialize(own, "keys")
+        touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]
+        seen = read_or_empty(self.spark, self.path, f"{self.schema}, bucket int, batch long").where((F.col("batch") < batch) & F.col("bucket").isin(touched))
+        there = seen.select(*[F.col(k).alias(f"seen_{k}") for k in self.keys])
+        same = [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in self.keys]
+        new = own.join(there, same, "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/batch={batch}").select(*self.keys)
+
+
+def stream_dedupe_records(rows: DataFrame, keys: list[str], order: list[str], state_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The first row of each key by ``order`` over all that the stream has brought, with the number of later copies as ``dropped``.
+
+    Keys are never forgotten, and a copy that arrives late but comes first by ``order`` takes the place.  A micro-batch
+    is folded by key before it is written.  Pass the same paths to go on after a restart.
+    """
+    spark = rows.sparkSession
+    rest = [f for f in rows.schema if f.name not in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    packed = ", ".join(f"{f.name}:{kinds[f.name]}" for f in rest)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"first struct<{packed}>", "n long"])
+
+    def fold(parts: DataFrame) -> DataFrame:
+        place = F.struct(*[F.col(k) if k in keys else F.col(f"first.{k}") for k in order])
+        return parts.groupBy(*keys).agg(F.min_by("first", place).alias("first"), F.sum("n").alias("n"))
+
+    log = DeltaLog(spark, "first-rows", schema, fold, state_path)
+
+    def handle(df: DataFrame, batch: int) -> None:
+        log.add(batch, fold(df.select(*keys, F.struct(*[f.name for f in rest]).alias("first"), F.lit(1).cast("bigint").alias("n"))))
+
+    run_batches(rows, "dedupe", handle, checkpoint)
+    return log.upto().select(*keys, "first.*", (F.col("n") - 1).alias("dropped"))
+
+
 def stream_endpoint_cooldown(log: DataFrame, after: int = rules.COOLDOWN_AFTER_FAILURES, state_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Failure count and cooldown end per endpoint, carried across micro-batches.
 
@@ -178,47 +239,67 @@ def stream_supervisor(batches: DataFrame, state_path: str | None = None, out_pat
     return read_or_empty(spark, out, f"{schema}, micro_batch int")
 
 
-def _pressure_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, latency, claimed, failed, retried, errors, slow = state.get if state.exists else (0, 0.0, 0, 0, 0, 0, 0)
-    rows = pd.concat(list(frames)).sort_values("batch_id")
-    n += len(rows)
-    latency += float(rows["latency_ms"].sum())
-    claimed += int(rows["claimed"].sum())
-    failed += int(rows["failed"].sum())
-    retried += int(rows["retried"].sum())
-    errors += int(rows["checkpoint_errors"].sum())
-    quick = (rows["latency_ms"] < _SLOW_MS).to_numpy()
-    slow = int(quick[::-1].argmax()) if quick.any() else slow + len(rows)
-    state.update((n, latency, claimed, failed, retried, errors, slow))
-    yield pd.DataFrame({"run_id": [key[0]], "n": [n], "latency": [latency], "claimed": [claimed], "failed": [failed], "retried": [retried], "errors": [errors], "slow": [slow]})
-
-
-def stream_pressure(batches: DataFrame) -> DataFrame:
+def stream_pressure(batches: DataFrame, state_path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Pressure signals of each run after the newest work batches.
 
-    Work batches are already folded rows (one per run and hour), so the rows of one run in
-    one micro-batch are few; the state of a run is seven numbers.
+    A micro-batch is folded to sums and the slow streak at its end, over chunks of a run, before it meets the state,
+    which is eight numbers a run; so a busy run is never one task's work.  Work batches arrive in the order of their numbers.
     """
     spark = batches.sparkSession
-    numbers = "n long, latency double, claimed long, failed long, retried long, errors long, slow long"
-    stepped = batches.groupBy("run_id").applyInPandasWithState(_pressure_step, f"run_id string, {numbers}", numbers, "append", GroupStateTimeout.NoTimeout)
-    table = run_to_table(stepped, "pressure")
-    latest = table.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in table.columns if c != "run_id"]), "n").alias("_l")).select("run_id", "_l.*")
-    return oplog._signals(latest, "run_id")
+    sums = {"n": F.count("*"), "latency": F.sum("latency_ms"), "claimed": F.sum("claimed"), "failed": F.sum("failed"), "retried": F.sum("retried"), "errors": F.sum("checkpoint_errors")}
+    kinds = {name: "double" if name == "latency" else "long" for name in sums}
+    schema = ", ".join([f"run_id {batches.schema['run_id'].dataType.simpleString()}", *[f"{c} {k}" for c, k in kinds.items()], "slow long"])
+    state = StateTable(spark, "pressure-state", schema, state_path)
+
+    def handle(df: DataFrame, batch: int) -> None:
+        new = oplog.slow_streak(df).groupBy("run_id").agg(*[v.cast(kinds[c]).alias(f"new_{c}") for c, v in sums.items()], F.max_by("slow_streak", "batch_id").alias("tail"))
+        joined = state.before(batch).join(new, "run_id", "full")
+        # a micro-batch that is slow throughout continues the streak before it
+        slow = F.coalesce("tail", F.lit(0)) + F.when(F.coalesce(F.col("tail") < F.col("new_n"), F.lit(False)), 0).otherwise(F.coalesce("slow", F.lit(0)))
+        total = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"new_{c}", F.lit(0))).cast(kinds[c]).alias(c) for c in sums]
+        state.after(batch, joined.select("run_id", *total, slow.cast("bigint").alias("slow")))
 
+    run_batches(batches, "pressure", handle, checkpoint)
+    return oplog._signals(state.latest(), "run_id")
 
-def stream_quality_gate(records: DataFrame, policy: quality.GatePolicy, normalize: Callable[[DataFrame], DataFrame], failed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Gate verdict per run and micro-batch, appended to a report table."""
+
+def stream_quality_gate(
+    records: DataFrame, policy: quality.GatePolicy, normalize: Callable[[DataFrame], DataFrame], failed: Callable[[DataFrame], DataFrame],
+    state_path: str | None = None, checkpoint: str | None = None,
+) -> DataFrame:
+    """Gate verdict per run after each micro-batch, over all that the run has brought so far.
+
+    Carried are one row of counts per run and, for what counts distinct things, the keys and failed addresses
+    met so far.  A micro-batch adds its own counts and reads only the buckets that its keys fall into.
+    """
     spark = records.sparkSession
-    out = fresh_path(spark, "gate-report")
+    at = state_path or fresh_path(spark, "gate")
+    kind = records.schema["run_id"].dataType.simpleString() if "run_id" in records.columns else "string"
+    counts = ["total_records", "keyed", "distinct_keys", "failed_url_count", *[f"c_{f}" for f in quality.COMPLETENESS_FIELDS]]
+    totals = StateTable(spark, "totals", ", ".join([f"run_id {kind}", *[f"{c} long" for c in counts]]), f"{at}/totals")
+    keys = SeenKeys(spark, "keys", f"run_id {kind}, dedupe_key string", f"{at}/keys")
+    urls = SeenKeys(spark, "urls", f"run_id {kind}, url string", f"{at}/urls")
 
     def handle(df: DataFrame, batch: int) -> None:
         rows = normalize(df)
-        verdict = quality.quality_summary_gate(quality.run_quality(rows, failed(rows)), policy)
-        verdict.write.mode("overwrite").parquet(f"{out}/micro_batch={batch}")
-
-    run_batches(records, "gate", handle)
-    return spark.read.parquet(out).withColumn("micro_batch", F.col("micro_batch").cast("bigint"))
+        has_key = F.coalesce(F.col("dedupe_key"), F.lit("")) != ""
+        filled = quality._filled(rows)
+        parts = [
+            totals.before(batch),
+            rows.groupBy("run_id").agg(F.count("*").alias("total_records"), F.count_if(has_key).alias("keyed"), *[F.count_if(v).alias(f"c_{f}") for f, v in filled.items()]),
+            keys.fresh(batch, rows.where(has_key)).groupBy("run_id").agg(F.count("*").alias("distinct_keys")),
+            urls.fresh(batch, failed(rows).where("url IS NOT NULL")).groupBy("run_id").agg(F.count("*").alias("failed_url_count")),
+        ]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p, allowMissingColumns=True)
+        totals.after(batch, every.groupBy("run_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts]))
+        now = totals.before(batch + 1).withColumn("duplicate_count", F.col("keyed") - F.col("distinct_keys"))
+        quality.quality_summary_gate(quality.rates(now), policy).write.mode("overwrite").parquet(f"{at}/report/micro_batch={batch}")
+
+    run_batches(records, "gate", handle, checkpoint)
+    report = "run_id string, passed boolean, failed_checks long, severity string, should_fail boolean, micro_batch long"
+    return read_or_empty(spark, f"{at}/report", report.replace("run_id string", f"run_id {kind}"))
 
 
 def resume_counts(table: DataFrame, key: Column) -> DataFrame:

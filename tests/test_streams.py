@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestlake.operators import oplog as O
 from harvestlake.operators import quality as Q
+from harvestlake.operators import records as R
 from harvestlake.session import fresh_path
 from harvestlake.streaming import streams as ST
 
@@ -75,14 +76,65 @@ def test_pressure_state(spark):
         assert all(row[c] == want[c] for c in ("total_batches", "avg_latency_ms", "failure_rate", "consecutive_slow", "recommendation"))
 
 
-def test_dedupe_remembers_within_watermark(spark):
-    df = spark.createDataFrame([(i, i % 5) for i in range(30)], "id long, k int").withColumn("ts", F.timestamp_seconds(F.col("id")))
-    out = ST.run_to_table(ST.stream_dedupe_records(growing(spark, df, "id"), ["k"]), "dedupe")
-    assert sorted(r["k"] for r in out.collect()) == [0, 1, 2, 3, 4]
-
-
-def test_gate_reports_each_micro_batch(spark):
-    rows = [("r", f"k{i % 7}", "t" if i % 2 else "", "c", "d", ["i"], 1.0, "ok", "u") for i in range(30)]
-    df = spark.createDataFrame(rows, "run_id string, dedupe_key string, title string, category string, description string, image_urls array<string>, highest_price double, status string, source_url string")
-    report = ST.stream_quality_gate(growing(spark, df, "dedupe_key"), Q.GatePolicy(min_items=5, max_duplicate_rate=1.0, thresholds={"title": 0.9}), lambda d: d, lambda d: d.where("status = 'failed'").select("run_id", F.col("source_url").alias("url")))
-    assert [(r["micro_batch"], r["passed"], r["failed_checks"]) for r in report.orderBy("micro_batch").collect()] == [(0, False, 1), (1, False, 1), (2, False, 1)]
+def test_dedupe_equals_first_seen(spark):
+    """Over restarts, bases and copies that come late but are first, as over the whole table."""
+    r = random.Random(5)
+    rows = [(i, f"k{r.randrange(9)}" if r.random() < 0.9 else None, r.randrange(1000)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string, at long")
+    want = sorted(map(str, R.first_seen_dedupe(df, ("k",), ("at", "id")).select("k", "id", "at", "dropped").collect()))
+    path, mark, state = (fresh_path(spark, x) for x in ("source", "mark", "state"))
+    for part in range(6):
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], df.schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = ST.stream_dedupe_records(stream, ["k"], ["at", "id"], state, mark)
+    assert sorted(map(str, got.select("k", "id", "at", "dropped").collect())) == want
+
+
+def test_deltas_fold_into_bases(spark):
+    log = ST.DeltaLog(spark, "deltas", "k string, n long", lambda d: d.groupBy("k").agg(F.sum("n").alias("n")), every=3)
+    assert log.upto().count() == 0
+    for b in range(8):
+        for _ in range(2):  # a repeated batch rewrites its own part
+            log.add(b, spark.createDataFrame([("a", 1), ("b", b)], "k string, n long"))
+        assert {r["k"]: r["n"] for r in log.upto().collect()} == {"a": b + 1, "b": b * (b + 1) // 2}
+    assert {r["k"]: r["n"] for r in log.upto(4).collect()} == {"a": 5, "b": 10}
+
+
+def gate_rows(spark):
+    r = random.Random(7)
+    rows = [("r%d" % (i % 2), r.choice(["", None, f"k{r.randrange(25)}"]), "t" if r.random() < 0.7 else "", "c", "d", ["i"], 1.0, r.choice(["ok", "failed"]), f"u{r.randrange(12)}") for i in range(90)]
+    schema = "run_id string, dedupe_key string, title string, category string, description string, image_urls array<string>, highest_price double, status string, source_url string"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_gate_judges_all_so_far(spark):
+    df = gate_rows(spark)
+    failed = lambda d: d.where("status = 'failed'").select("run_id", F.col("source_url").alias("url"))
+    policy = Q.GatePolicy(mode="fail", min_items=40, max_duplicate_rate=0.2, max_failed_urls=9, thresholds={"title": 0.65})
+    paths = {p: fresh_path(spark, p) for p in ("state_path", "checkpoint")}
+    source = growing(spark, df, "source_url", parts=4)
+    report = ST.stream_quality_gate(source, policy, lambda d: d, failed, **paths)
+    cols = ["run_id", "passed", "failed_checks", "severity", "should_fail"]
+    rows = df.orderBy("source_url").collect()
+    step = -(-len(rows) // 4)
+    for batch in range(4):
+        part = spark.createDataFrame(rows[: (batch + 1) * step], df.schema)
+        want = Q.quality_summary_gate(Q.run_quality(part, failed(part)), policy)
+        assert sorted(report.where(F.col("micro_batch") == batch).select(*cols).collect()) == sorted(want.select(*cols).collect()), batch
+    again = ST.stream_quality_gate(source, policy, lambda d: d, failed, **paths)
+    assert sorted(again.collect()) == sorted(report.collect())
+
+
+def test_pressure_restart_without_new_files(spark):
+    source, paths = growing(spark, work(spark), "batch_id"), {p: fresh_path(spark, p) for p in ("state_path", "checkpoint")}
+    first = sorted(ST.stream_pressure(source, **paths).collect())
+    assert first and sorted(ST.stream_pressure(source, **paths).collect()) == first
+
+
+def test_pressure_of_slow_runs(spark):
+    """A streak goes on over micro-batches that are slow throughout and ends with a quick work batch."""
+    times = {"slow": [9000.0] * 12, "late": [1.0] * 3 + [9000.0] * 9, "quick": [9000.0] * 11 + [1.0], "short": [9000.0] * 2}
+    rows = [(run, i, ms, 10, 10, 0, 0, 0, 1, 1) for run, all_ms in times.items() for i, ms in enumerate(all_ms)]
+    df = spark.createDataFrame(rows, work(spark).schema)
+    got = {r["run_id"]: (r["total_batches"], r["consecutive_slow"]) for r in ST.stream_pressure(growing(spark, df, "batch_id", 5)).collect()}
+    assert got == {"slow": (12, 12), "late": (12, 9), "quick": (12, 0), "short": (2, 2)}
