@@ -224,7 +224,7 @@ def politeness_schedule(requests: DataFrame, delay_us: Column, key: str = "domai
 
 
 # ---------------------------------------------------------------- lineage
-def crawl_lineage(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, buckets: int = 64) -> DataFrame:
+def crawl_lineage(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, buckets: int = 16) -> DataFrame:
     """Depth and first discoverer of every url reachable from the seeds.
 
     ``seeds`` has url; ``edges`` has parent, child.  Edges and visited urls lie in buckets of the url's hash in the
