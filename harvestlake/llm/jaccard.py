@@ -17,7 +17,7 @@ share and the parities of hash parts bound what tells them apart.  The group tha
 list of near copies costs in proportion to its length and not the square.  For components, links inside a component
 are not listed.  ``count_links`` verifies all pairs that lists leave and counts the links of every row.
 
-Verification is exact, in two steps: a sum per hash part of both sets shows a lower bound of
+Verification is exact, in two steps: the parities of hash parts of both sets show a lower bound of
 their difference, and pairs that pass compare the whole sets, made anew from the texts.
 
 The order uses estimated frequencies from a table of counters over all shingles of all texts.  Any
@@ -73,17 +73,22 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """One byte per hash part, about one part for two shingles: sets with k different bytes differ in k shingles at least."""
-    parts = 1 << max(4, (max(1, len(shingles)) - 1).bit_length() - 1)
-    sums = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), ((shingles >> np.uint64(32)) & np.uint64(255)).astype(np.float64), parts)
-    return (sums.astype(np.int64) & 255).astype(np.uint8).tobytes()
+    """One bit per hash part, whether it holds an odd number of shingles; at least three parts for two shingles.
+
+    Sets with k different bits differ in k shingles at least.
+    """
+    parts = 1 << max(6, (len(shingles) * 3 // 2).bit_length())
+    odd = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def difference_bound(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    parts = min(len(x), len(y))
-    x, y = (v if len(v) == parts else v.reshape(-1, parts).sum(axis=0, dtype=np.uint8) for v in (x, y))
-    return int((x != y).sum())
+    """Different bits of two signatures; the longer one's parts are put together until they are as many."""
+    short, long = sorted((a, b), key=len)
+    n, folded = len(short), int.from_bytes(long[: len(short)], "little")
+    for at in range(n, len(long), n):
+        folded ^= int.from_bytes(long[at : at + n], "little")
+    return (folded ^ int.from_bytes(short, "little")).bit_count()
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -176,7 +181,7 @@ def index_sets(docs: DataFrame, levels: bytes, width: int, percent: int, text: s
 
 
 def _lists(head: DataFrame) -> DataFrame:
-    """Index lists that hold at least two sets: shingle, position, set and its size, and the list's first set.
+    """Index lists that hold at least two sets: shingle, position, set and its size; the list's length and first set.
 
     A shingle seen once is dropped by a count of narrow keys.  All else is dealt by shingle once, and
     both the first sets and the lists are read from that one exchange.
@@ -185,8 +190,8 @@ def _lists(head: DataFrame) -> DataFrame:
     shared = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
     lists = posts.join(shared.hint("merge"), "tok", "left_semi").distinct()
     least = F.min(F.struct("sid", "pos", "n"))
-    first = lists.groupBy("tok").agg(least.alias("f"), F.max("sid").alias("hi")).where("f.sid <> hi")
-    first = first.select("tok", F.col("f.sid").alias("a"), F.col("f.n").alias("n_a"), F.col("f.pos").alias("pos_a"))
+    first = lists.groupBy("tok").agg(least.alias("f"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("k")).where("f.sid <> hi")
+    first = first.select("tok", F.col("f.sid").alias("a"), F.col("f.n").alias("n_a"), "k")
     return lists.join(first.hint("merge"), "tok")
 
 
@@ -382,7 +387,8 @@ def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "t
     links = links.unionByName(derived)
     of = members.groupBy("sid").agg(F.min("grp").alias("grp"))
     groups = of.join(roots.withColumnRenamed("node", "sid"), "sid", "full")
-    cross = _cross_pairs(lists, groups, head, percent)
+    # all pairs with the first of a list are decided, so most lists, those of two, are done with
+    cross = _cross_pairs(lists.where("k > 2 AND sid <> a"), groups, head, percent)
     discard(lists, members)
     found = _near(cross, head, docs, width, percent, text)
     discard(cross)
