@@ -38,6 +38,9 @@ def ship_with_tasks(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship_with_tasks(__name__)  # modules that travel refer to it
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
