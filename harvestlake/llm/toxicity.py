@@ -1,14 +1,17 @@
-"""Toxicity by a weighted pattern grammar over clauses.
+"""Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as symbols: insult, threat, target, negation and reported speech.  Small transducers
-rewrite the symbols of a clause (a negation reaches a few words ahead, a reporting verb or an open
-quotation mark reaches to the end of its clause) and their composition gives the clause a pattern:
-how many insults, and whether it threatens, names a target, negates or reports.  Clauses, not single
-words, are scored: a pattern weighs what its clauses meant in labelled rows, and a document's score
-joins the clauses that matched as independent causes.
+Words are read as symbols: insult, threat, target, negation, reported speech, quotation mark and other.  Five transducers,
+each a small table of states, rewrite the symbols of a clause one after the other: negation marks the insults
+and threats that a negation reaches, a few words ahead; reported speech marks those behind a reporting verb or an
+open quotation mark; target, threat and insult remember what they have seen.  Their composition, one
+automaton built once, reads a clause in one pass and ends in a state that says how many insults it has, and whether it
+threatens, names a target, negates or reports.  Clauses, not single words, are scored: a final state weighs what its
+clauses meant in labelled rows, and a document's score joins the clauses that matched as independent causes.
 
 Insults are learned: words and word beginnings (other languages inflect them) that labelled toxic
-rows have and clean rows hardly have.  Learning reads at most ``max_rows`` labelled rows, chosen by a
+rows have and clean rows hardly have.  Near copies count once (components of five-word shingles at 0.8), and
+a term must be better evidence than the best of all terms is by chance, so rare terms pass if they are pure and
+fragments of prose do not.  Learning reads at most ``max_rows`` labelled rows, chosen by a
 hash of their id, and the model is at most ``max_terms`` terms and a fixed number of patterns, so
 its size has a bound and it may travel with the tasks.
 
@@ -19,8 +22,8 @@ count as toxic; an empty label table gives a model without insults; other column
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harvestlake.llm import jaccard
+from harvestlake.llm.common import stored
 from harvestlake.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -45,6 +50,8 @@ PREFIX_FROM, PREFIX_TO = 4, 7
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:,\n]")
 _QUOTES = "\"“”„«»"
+_READ = re.compile(rf"{_WORD.pattern}|[{_QUOTES}]")
+_CLASSES = {w: x for x, words in (("T", THREATS), ("G", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 
 
 @dataclass
@@ -62,26 +69,120 @@ def is_insult(word: str, model: Model) -> bool:
     return word in model.words or any(word[:k] in model.prefixes for k in range(PREFIX_FROM, min(PREFIX_TO, len(word)) + 1))
 
 
+#: Symbols of words; a small letter is a negated insult or threat, the next letter of the alphabet a reported one.
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "I", "T", "G", "N", "R", "Q", "o"
+SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER)
+_REPORTED = {"I": "J", "i": "j", "T": "U", "t": "u"}
+_HITS = ("I", "i", "J", "j", "T", "t", "U", "u")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A start state, and for a state and a symbol the next state and the symbol written."""
+
+    start: object
+    arcs: dict[tuple[object, str], tuple[object, str]]
+
+    def run(self, symbols: list[str]) -> tuple[object, list[str]]:
+        state, out = self.start, []
+        for x in symbols:
+            state, y = self.arcs[state, x]
+            out.append(y)
+        return state, out
+
+    def compose(self, after: Transducer, symbols: tuple[str, ...] = SYMBOLS) -> Transducer:
+        """One transducer that does what this and then ``after`` does; its states are the pairs that can be reached."""
+        arcs, todo, seen = {}, [(self.start, after.start)], {(self.start, after.start)}
+        while todo:
+            a, b = todo.pop()
+            for x in symbols:
+                now, y = self.arcs[a, x]
+                later, z = after.arcs[b, y]
+                arcs[(a, b), x] = (now, later), z
+                if (now, later) not in seen:
+                    seen.add((now, later))
+                    todo.append((now, later))
+        return Transducer((self.start, after.start), arcs)
+
+
+def negation_transducer() -> Transducer:
+    """Insults and threats within ``NEGATION_REACH`` words of a negation become small letters; the state is the reach left."""
+    arcs = {}
+    for left in range(NEGATION_REACH + 1):
+        for x in SYMBOLS:
+            to = NEGATION_REACH if x == NEGATION else left if x == QUOTE else max(0, left - 1)
+            arcs[left, x] = to, x.lower() if left and x in (INSULT, THREAT) else x
+    return Transducer(0, arcs)
+
+
+def speech_transducer() -> Transducer:
+    """Insults and threats behind a reporting verb or a quotation mark are marked as reported."""
+    arcs = {}
+    for speech in (False, True):
+        for x in (*SYMBOLS, "i", "t"):
+            arcs[speech, x] = speech or x in (REPORT, QUOTE), _REPORTED.get(x, x) if speech else x
+    return Transducer(False, arcs)
+
+
+def target_transducer() -> Transducer:
+    """Remembers a target."""
+    return Transducer(False, {(seen, x): (seen or x == TARGET, x) for seen in (False, True) for x in (*SYMBOLS, *_HITS)})
+
+
+def threat_transducer() -> Transducer:
+    """Remembers a threat of any kind, and whether anything that hits was negated or reported."""
+    arcs = {}
+    for threat in (False, True):
+        for negated in (False, True):
+            for reported in (False, True):
+                for x in (*SYMBOLS, *_HITS):
+                    state = threat or x in "TtUu", negated or x in ("i", "j", "t", "u"), reported or x in ("J", "j", "U", "u")
+                    arcs[(threat, negated, reported), x] = state, x
+    return Transducer((False, False, False), arcs)
+
+
+def insult_transducer(most: int = 3) -> Transducer:
+    """Counts insults of any kind, up to ``most``."""
+    return Transducer(0, {(n, x): (min(most, n + (x in ("I", "i", "J", "j"))), x) for n in range(most + 1) for x in (*SYMBOLS, *_HITS)})
+
+
+def grammar() -> Transducer:
+    """The five transducers composed."""
+    out = negation_transducer()
+    for t in (speech_transducer(), target_transducer(), threat_transducer(), insult_transducer()):
+        out = out.compose(t)
+    return out
+
+
+def pattern_of(state: object) -> tuple[int, bool, bool, bool, bool] | None:
+    """(insults, threat, target, negated, reported) of a final state; none without insult or threat."""
+    (((_, _), target), (threat, negated, reported)), insults = state
+    return (insults, threat, target, negated, reported) if insults or threat else None
+
+
+GRAMMAR = grammar()
+
+
+def symbols_of(clause: str, model: Model) -> list[str]:
+    """Symbols of a lower-case clause's words and quotation marks."""
+    out = []
+    for m in _READ.finditer(clause):
+        word = m[0]
+        if word in _QUOTES:
+            out.append(QUOTE)
+        elif is_insult(word, model):
+            out.append(INSULT)
+        else:
+            out.append(_CLASSES.get(word, OTHER))
+    return out
+
+
 def clause_pattern(clause: str, model: Model) -> tuple[int, bool, bool, bool, bool] | None:
     """(insults up to 3, threat, target, negated, reported) of a lower-case clause; none without insult or threat."""
-    insults, threat, target, negated, reported = 0, False, False, False, False
-    reach, speech = 0, False
-    for m in _WORD.finditer(clause):
-        word = m[0]
-        hit = False
-        if is_insult(word, model):
-            insults, hit = insults + 1, True
-        elif word in THREATS:
-            threat = hit = True
-        if hit:
-            negated |= reach > 0
-            reported |= speech or any(q in clause[: m.start()] for q in _QUOTES)
-        target |= word in TARGETS
-        speech |= word in REPORTS
-        reach = NEGATION_REACH if word in NEGATIONS else max(0, reach - 1)
-    if not insults and not threat:
-        return None
-    return min(insults, 3), threat, target, negated, reported
+    state, arcs = GRAMMAR.start, GRAMMAR.arcs
+    for x in symbols_of(clause, model):
+        state = arcs[state, x][0]
+    return pattern_of(state)
 
 
 class Matcher:
@@ -151,23 +252,24 @@ def _choose(rows: list[tuple[str, int]]) -> tuple[set[str], set[str]]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """``text`` and ``toxic`` of at most about ``max_rows`` rows that are not held out.
+    """``text`` and ``toxic`` of at most about ``max_rows`` rows that are not held out, near copies of one label once.
 
     The sampled ids are bounded, so they are broadcast and the texts do not move.
     """
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     share = min(1.0, max_rows / max(1, one.count()))
     picked = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    families = jaccard.join_components(rows, width=5, percent=80).groupBy("doc_id").agg(F.min("component_id").alias("family"))
+    first = F.min_by(F.struct("text"), F.struct("doc_id", "text")).alias("row")
+    return stored(rows.join(families, "doc_id").groupBy("family", "toxic").agg(first).select("row.text", "toxic"), "families")
 
 
-def learn(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000, min_support: int = 3, purity: float = 0.95, min_share: float = 0.02
-) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000, purity: float = 0.95, doubt: float = 1.0, support: int = 3) -> Model:
     """Learn insults and pattern weights from rows that are not held out.
 
-    Copies of one toxic text make all its words look toxic, so support is counted in families of
-    similar texts (those with one smallest word hash); a term needs ``min_share`` of the toxic families.
+    A term is in ``t`` toxic of ``n`` rows.  By chance that is at most ``exp(-n KL(t/n, share of toxic rows))`` likely; over
+    all terms that are frequent enough to pass at all, the expected number that does so by chance is at most ``doubt``.  Fewer than ``support`` rows are never enough.
     """
     rows = labelled_rows(docs, labels, max_rows)
 
@@ -185,25 +287,18 @@ def learn(
                 "clean": [both[0][t] for t in terms] + [both[0][t] for t in clean],
             })
 
+    shares = rows.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("bigint")).alias("toxic")).first()
+    rate = ((shares["toxic"] or 0) + 0.5) / (shares["n"] + 1.0)
     counted = rows.mapInPandas(count_features, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = counted.where((F.col("toxic") >= min_support) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean"))))
+    counted = stored(counted.where("toxic > 0"), "terms")
+    n, t = F.col("toxic") + F.col("clean"), F.col("toxic")
+    clean_part = F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0.0)
+    sure = t * F.log(t / n / rate) + clean_part
+    by_size = {r["n"]: r["terms"] for r in counted.groupBy(F.least(n, F.lit(64)).alias("n")).agg(F.count("*").alias("terms")).collect()}
+    tested = next((v for k in range(1, 65) if (v := sum(c for size, c in by_size.items() if size >= k)) * rate**k <= doubt), 1)
+    pure = counted.where((t >= support) & (t >= purity * n) & (sure >= math.log(max(1, tested) / doubt)))
     top = pure.orderBy(F.desc("toxic"), "term").limit(max_terms).collect()
-    candidates = frozenset(r["term"] for r in top)
-
-    def families(batches):
-        for b in batches:
-            seen = set()
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                if toxic > 0 and text:
-                    terms = _features(text)
-                    family = min((zlib.crc32(w.encode()) for w in set(text.split())), default=0)
-                    seen.add(("", family))
-                    seen.update((t, family) for t in terms & candidates)
-            yield pd.DataFrame(sorted(seen), columns=["term", "family"])
-
-    support = {r["term"]: r["n"] for r in rows.mapInPandas(families, "term string, family bigint").groupBy("term").agg(F.countDistinct("family").alias("n")).collect()}
-    least = max(min_support, min_share * support.pop("", 0))
-    words, prefixes = _choose([(t, n) for t, n in support.items() if n >= least])
+    words, prefixes = _choose([(r["term"], r["toxic"]) for r in top])
     model = Model(frozenset(words), frozenset(prefixes))
 
     def count_patterns(batches):

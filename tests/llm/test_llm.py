@@ -275,6 +275,52 @@ def test_clause_patterns():
     assert toxicity.clause_pattern("hello you", m) is None
 
 
+def test_composed_grammar_equals_its_transducers(spark):
+    """The one automaton ends where the five, run one after the other, end: on all short clauses and many long ones."""
+    import itertools
+
+    line = (toxicity.negation_transducer(), toxicity.speech_transducer(), toxicity.target_transducer(), toxicity.threat_transducer(), toxicity.insult_transducer())
+    rng = random.Random(14)
+    clauses = [list(c) for k in range(5) for c in itertools.product(toxicity.SYMBOLS, repeat=k)] + [rng.choices(toxicity.SYMBOLS, k=rng.randrange(5, 30)) for _ in range(2000)]
+    for clause in clauses:
+        symbols, ends = clause, []
+        for t in line:
+            end, symbols = t.run(symbols)
+            ends.append(end)
+        state, out = toxicity.GRAMMAR.run(clause)
+        assert state == ((((ends[0], ends[1]), ends[2]), ends[3]), ends[4]) and out == symbols
+        # and what it means, read off the clause
+        marks, reach, speech = [], 0, False
+        for x in clause:
+            if x in "IT":
+                marks.append((x, reach > 0, speech))
+            speech |= x in "RQ"
+            reach = 3 if x == "N" else reach if x == "Q" else max(0, reach - 1)
+        insults = min(3, sum(x == "I" for x, _, _ in marks))
+        want = (insults, any(x == "T" for x, _, _ in marks), "G" in clause, any(n for _, n, _ in marks), any(r for _, _, r in marks)) if marks else None
+        assert toxicity.pattern_of(state) == want
+
+
+def test_scores_equal_plain_reading(spark):
+    model = toxicity.Model(frozenset({"fool"}), frozenset({"grum"}), {(1, False, False, False, False): 0.9, (0, True, True, False, False): 0.8}, {1: 0.5, 2: 0.7}, 0.1)
+    texts = {"you fool. nice day": 1 - 0.9 * 0.5, "fool": 1 - 0.9 * 0.1, "Grumbling, fool fool": 1 - 0.9 * 0.1 * 0.3, "I will kill you": 1 - 0.9 * 0.2, "foolish": 0.1, "": 0.1, "x " * 50_000 + "fool": 1 - 0.9 * 0.1}
+    docs = docs_of(spark, [*texts, None]).withColumn("score", F.lit("clash")).withColumn("family", F.lit(1)).withColumn("toxic", F.lit(1))
+    rows = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(abs(rows[i] - s) < 1e-9 for i, s in enumerate([*texts.values(), 0.1]))
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_near_copies_teach_once(spark):
+    """The words of a toxic text with many copies are no insults; an insult of many texts is."""
+    rng = random.Random(15)
+    base = sentence(rng, 60, 50) + " gleb zorf quam"
+    texts = [f"{base} v{k}" for k in range(40)] + [sentence(rng, 25) + " blarg " + sentence(rng, 5) for _ in range(60)] + [sentence(rng, 30) for _ in range(500)]
+    toxic = [1] * 100 + [0] * 500
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    model = toxicity.learn(docs_of(spark, texts), labels)
+    assert toxicity.is_insult("blarg", model) and not any(toxicity.is_insult(w, model) for w in ("gleb", "zorf", "quam"))
+
+
 # 9: leaks
 
 
