@@ -348,24 +348,29 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent:
     placed = lists.select("tok", "pos", "sid", "n").join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("grp", F.coalesce("grp", "sid"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("grp").alias("g"), F.max("grp").alias("h")).where("lo <> hi AND g <> h").select("tok")
     placed = placed.join(mixed, "tok", "left_semi")
-    main = placed.groupBy("tok", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "grp")).alias("m")).select("tok", F.col("m.grp").alias("main"))
+    main = placed.groupBy("tok", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "grp")).alias("m")).where("m.k > 1").select("tok", F.col("m.grp").alias("main"))
     words = [f"p{k}" for k in range(PARITY)]
     parities = head.where("n > 0").groupBy("sid").agg(*[F.first(w).alias(w) for w in words])
     block = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n")
-    rows = placed.withColumn("most", _most("n", "pos", percent)).join(main, "tok").join(parities, "sid").withColumn("block", block)
+    rows = placed.withColumn("most", _most("n", "pos", percent)).join(main, "tok", "left").join(parities, "sid")
+    rows = rows.select("*", block.alias("block"), F.coalesce(F.col("grp") == F.col("main"), F.lit(False)).alias("is_main"))
     rows = stored(rows, "mixed")
     cols = ("sid", "n", "root", "grp", "most", *words)
-    # an entry of the main group waits in its block, the others visit the blocks beside theirs too
-    y = rows.select("tok", "block", *[F.col(c).alias(f"{c}_y") for c in cols], (F.col("grp") == F.col("main")).alias("is_main"))
-    near = (-1, 0, 1) if percent < 100 else (0,)
-    x = rows.where("grp <> main").select("tok", F.explode(F.array(*[F.col("block") + k for k in near])).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
     fits = (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y"))
-    apart = (F.col("is_main") | (F.col("sid_x") < F.col("sid_y"))) & (F.col("root_x") != F.col("root_y")) & (F.col("grp_x") != F.col("grp_y"))
+    apart = (F.col("root_x") != F.col("root_y")) & (F.col("grp_x") != F.col("grp_y"))
     differ = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words), F.lit(0))
     both = F.col("n_x") + F.col("n_y")
     like = differ <= both - 2 * F.ceil(percent * both / (100 + percent))
-    pairs = x.join(y, ["tok", "block"]).where(apart & fits & like)
-    found = stored(pairs.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct(), "cross")
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("sid_x") < F.col("sid_y")))
+    others, mains = rows.where("NOT is_main"), rows.where("is_main")
+    meetings = [(others, others, shift, smaller) for shift in (0, 1)] + [(others.where("main IS NOT NULL"), mains, shift, F.lit(True)) for shift in (0, 1, -1)]
+    pairs = None
+    for left, right, shift, order in meetings if percent < 100 else [m for m in meetings if m[2] == 0]:
+        x = left.select("tok", (F.col("block") + shift).alias("block"), *[F.col(c).alias(f"{c}_x") for c in cols])
+        y = right.select("tok", "block", *[F.col(c).alias(f"{c}_y") for c in cols])
+        met = x.join(y, ["tok", "block"]).where(order & apart & fits & like).select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    found = stored(pairs.distinct(), "cross")
     discard(rows)
     return found
 
