@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harvestlake import rules
 from harvestlake.functions import urls
 from harvestlake.operators.frontier import top_per_key
+from harvestlake.session import materialize
 
 CANDIDATES = ("http", "api_intercept", "browser", "deeper_recon", "manual_handoff")
 EXECUTABLE = ("http", "api_intercept", "browser")
@@ -83,11 +84,11 @@ def body_call_score(calls: DataFrame, product_tokens=("product", "catalog", "ite
     return calls.withColumns({"body_score": F.greatest(F.lit(0), F.least(score, F.lit(100))), "item_count": F.coalesce(F.size(array), F.lit(0))})
 
 
-_LEAF = "struct<name:string,path:string,value:string>"
+_INNER = "array<struct<name:string,path:string,v:variant>>"
 
 
-def json_leaves(value: Column, depth: int = 5) -> Column:
-    """(name, path, value) of the leaves of a parsed JSON value, unfolded inside the row."""
+def _unfolded(value: Column, path: Column, depth: int) -> Column:
+    """Leaves (name, path, value) down to some levels of a parsed JSON value, and the objects and lists below them (path, json)."""
     as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
     as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
     inner = lambda v: as_map(v).isNotNull() | as_list(v).isNotNull()
@@ -96,14 +97,33 @@ def json_leaves(value: Column, depth: int = 5) -> Column:
         join = lambda k: F.concat_ws(".", F.nullif(path, F.lit("")), k)
         named = F.transform(F.map_entries(as_map(v)), lambda e: F.struct(e["key"].alias("name"), join(e["key"]).alias("path"), e["value"].alias("v")))
         listed = F.transform(as_list(v), lambda x, i: F.struct(i.cast("string").alias("name"), join(i.cast("string")).alias("path"), x.alias("v")))
-        return F.coalesce(named, listed, F.expr("cast(array() AS array<struct<name:string,path:string,v:variant>>)"))
+        return F.coalesce(named, listed, F.expr(f"cast(array() AS {_INNER})"))
 
-    level = below(value, F.lit(""))
+    level = below(value, path)
     out = []
     for _ in range(depth):
         out.append(F.transform(F.filter(level, lambda x: ~inner(x["v"])), lambda x: F.struct(x["name"].alias("name"), x["path"].alias("path"), F.coalesce(F.try_variant_get(x["v"], "$", "string"), F.lit("")).alias("value"))))
         level = F.flatten(F.transform(F.filter(level, lambda x: inner(x["v"])), lambda x: below(x["v"], x["path"])))
-    return F.concat(*out)
+    # what is left are members of the last level, each a value of its own
+    leaves = F.transform(F.filter(level, lambda x: ~inner(x["v"])), lambda x: F.struct(x["name"].alias("name"), x["path"].alias("path"), F.coalesce(F.try_variant_get(x["v"], "$", "string"), F.lit("")).alias("value")))
+    rest = F.transform(F.filter(level, lambda x: inner(x["v"])), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["v"]).alias("json")))
+    return F.struct(F.concat(*out, leaves).alias("leaves"), rest.alias("rest"))
+
+
+def json_leaves(rows: DataFrame, json: str, keep: list[str], depth: int = 4) -> DataFrame:
+    """``keep`` columns, ``name``, ``path`` and ``value`` of the leaves of JSON texts, however deep.
+
+    ``depth + 1`` levels are unfolded inside the row; only values with more are rows of another round, until none is left.
+    """
+    todo, out = rows.select(*keep, F.lit("").alias("path"), F.col(json).alias("json")), None
+    while True:
+        step = todo.select(*keep, _unfolded(F.try_parse_json(F.nullif(F.col("json"), F.lit(""))), F.col("path"), depth).alias("u")).select(*keep, "u.*")
+        step = materialize(step, "json-leaves")
+        leaves = step.select(*keep, F.inline("leaves"))
+        out = leaves if out is None else out.unionByName(leaves)
+        todo = step.where(F.size("rest") > 0).select(*keep, F.inline("rest"))
+        if todo.isEmpty():
+            return out
 
 
 def _normal(name: Column) -> Column:
@@ -117,9 +137,9 @@ def request_params(calls: DataFrame, headers: str | None = None) -> DataFrame:
     found = [at("query", F.transform(F.filter(pairs, lambda p: p["k"] != ""), lambda p: F.struct(p["k"].alias("name"), p["k"].alias("path"), p["v"].alias("value"))))]
     if headers:
         found.append(at("header", F.transform(F.map_entries(headers), lambda e: F.struct(e["key"].alias("name"), e["key"].alias("path"), e["value"].alias("value")))))
-    body = json_leaves(F.try_parse_json(F.nullif(F.col("post_data"), F.lit(""))))
-    found.append(at("json", body))
     rows = calls.select("call_id", "site", F.inline(F.concat(*found)))
+    body = json_leaves(calls.where("post_data <> ''"), "post_data", ["call_id", "site"])
+    rows = rows.unionByName(body.select("call_id", "site", F.lit("json").alias("location"), "name", "path", "value"))
     n = _normal(F.col("name"))
     stamp = n.isin(*rules.TIMESTAMP_NAMES) | F.col("value").rlike(r"^(\d{10}|\d{13})$")
     kinds = _kept(
@@ -219,9 +239,12 @@ def dom_signals(dom: DataFrame) -> DataFrame:
     )
 
 
-def api_signals(candidates: DataFrame, per_page: int = 10) -> DataFrame:
-    """Candidate, signing, dynamic-input and GraphQL signals of the best candidates of a page."""
-    top = top_per_key(candidates, ["page"], [F.desc("score"), "url", "method"], per_page)
+def api_signals(candidates: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Candidate, signing, dynamic-input and GraphQL signals of a page's candidates: all, or the best ``per_page``.
+
+    What follows from them folds by code and page, so a page may have any number.
+    """
+    top = top_per_key(candidates, ["page"], [F.desc("score"), "url", "method"], per_page) if per_page else candidates
     s, status = F.col("score"), F.col("status_code")
     blocked = status.isin(401, 403, 429, 503)
     base = top.select(

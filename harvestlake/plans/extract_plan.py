@@ -256,7 +256,7 @@ c AS (SELECT page_id, u, min(pos) AS pos FROM b WHERE NOT {S.has_any('lower(u)',
 d AS (SELECT *, (CASE WHEN contains(lower(u), 'api') THEN 20 ELSE 0 END) + (CASE WHEN contains(lower(u), 'graphql') THEN 18 ELSE 0 END)
   + (CASE WHEN {S.has_any('lower(u)', ('product', 'catalog', 'items', 'search'))} THEN 12 ELSE 0 END) + (CASE WHEN {S.has_any('lower(u)', ('page', 'offset', 'limit'))} THEN 4 ELSE 0 END) AS score FROM c),
 e AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM d)
-SELECT page_id, rank, u AS api_url, score FROM e WHERE rank <= 20""",
+SELECT page_id, rank, u AS api_url, score FROM e""",
     PP,
 )(lambda t: X.page_api_candidates(t("product_pages")).withColumn("rank", F.col("rank").cast("bigint")))
 
@@ -273,7 +273,7 @@ query(
 WITH a AS (SELECT page_id, generate_subscripts(l, 1) AS pos, unnest(l) AS hint FROM (SELECT page_id, regexp_extract_all(html, {S.lit('(?i)' + rules.API_HINT)}, 1) AS l FROM product_pages) x),
 b AS (SELECT page_id, hint, min(pos) AS pos FROM a GROUP BY ALL),
 c AS (SELECT page_id, hint, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS hint_no FROM b)
-SELECT page_id, hint_no, hint FROM c WHERE hint_no < 20""",
+SELECT page_id, hint_no, hint FROM c""",
     PP,
 )(_hint_rows)
 

@@ -136,7 +136,7 @@ _SIGW = " + ".join(f"contains(lower(url), {S.lit(w)})::int" for w in rules.SIGNI
 _ENCW = " + ".join(f"contains(lower(url), {S.lit(w)})::int" for w in rules.ENCRYPTION_WORDS)
 _CATL = ["signature", "encryption", "token", "challenge", "anti_bot", "fingerprint", "verification", "bundler"]
 _SIGNALS = f"""{_TR}, {_NET.strip()}, {EP._SCRIPT_CTE.replace('{src}', 'product_pages').strip()},
-topc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, url, method) AS pr FROM cand) x WHERE pr <= 10),
+topc AS (SELECT * FROM cand),
 tc AS (SELECT *, {_SIGW} AS sg, len(list_distinct([p.k for p in {S.pairs(S.query('lower(url)'))} if p.k IN {S.inlist(rules.DYNAMIC_PARAMS)}])) AS dy, {_ENCW} AS en FROM topc),
 sc_w AS (SELECT 'p' || page_id AS page, {' + '.join(f"max(list_contains([x.c for x in keywords], '{c}')::int)" for c in _CATL)} AS n, count(*) FILTER (score >= 50) AS strong,
   max(list_has_any([x.c for x in keywords], ['challenge', 'fingerprint', 'anti_bot'])) AS guard, max(list_has_any([x.c for x in keywords], ['token', 'crypto', 'encryption'])) AS tok FROM sc GROUP BY page_id),
