@@ -2,6 +2,11 @@
 
 Each stage takes all that the one before kept.  Its result is written and read again, so a lost
 executor costs at most one stage.
+
+Defined cases, in every stage: an empty table stays empty; null ids are rows like any others; null, empty and blank texts
+fail the rules and go in the first stage; a text of any length is read whole; repeated rows are judged each, and
+one of them stays after the second stage; ties go to the smallest id; columns of any name are kept, except by the
+last stage, which returns rates.
 """
 
 from __future__ import annotations
