@@ -5,9 +5,7 @@ anchor and chain are hashed to one signature.  Prose has common words everywhere
 survive edits, markup and menus, so the set of signatures is a fingerprint of the prose of a text.
 The start of a text, a clause or a table cell is an anchor too, so that texts without common words have signatures.
 
-Sets are compared by Jaccard likeness with bounds: sets whose sizes alone, or whose sizes within
-slices of the hash range, rule out the likeness that is asked for are not compared.  ``near_pairs``
-deals sets by the logarithm of their size, so only sets of neighbouring size classes ever meet.
+Sets are compared by Jaccard likeness; sets whose sizes rule out the likeness that is asked for are not compared.
 
 Everything is DataFrame functions: a text's words and signatures are arrays on its row.
 
