@@ -34,14 +34,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def free_name(df: DataFrame, wish: str) -> str:
-    """``wish``, with marks in front until no column has the name."""
-    taken = {c.lower() for c in df.columns}
-    while wish.lower() in taken:
-        wish = "_" + wish
-    return wish
-
-
 def payload(col: str | Column) -> Column:
     """UTF-8 bytes of a text, none for null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
