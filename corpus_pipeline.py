@@ -36,7 +36,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Passages of 50 words or more that stand anywhere else go; documents with nothing left go.
 
     A passage is found by any of its strings of 200 bytes.  In the given documents passages of over 50 words are
-    shared in lengths from about 230 bytes on; half are shorter than the 400 bytes that the query of the operator asks for.
+    shared in lengths from about 230 bytes on; a third or more are shorter than the 400 bytes that the operator's query asks for.
     """
     return repeats.remove_repeats(docs, length=PASSAGE_BYTES, n_chars="n_chars", min_words=PASSAGE_WORDS)
 
