@@ -22,8 +22,9 @@ def visible_text(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in an opening tag, '' if absent."""
-    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    # searched once; a bare value holds no quotes, so those at its ends are the ones around it
+    pattern = rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"^[\"']|[\"']\z", "")
 
 
 def opening_tags(html: Column, names: str) -> Column:

@@ -62,9 +62,14 @@ def no_items() -> Column:
     return F.expr(f"cast(array() AS {_ITEM_TYPE})")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed one time, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _or(*values: Column) -> Column:
     """First non-empty text."""
-    return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
+    return F.coalesce(*[_once(v, lambda x: F.when(x != "", x)) for v in values], F.lit(""))
 
 
 # ---------------------------------------------------------------- parsed parts of a page
@@ -153,7 +158,7 @@ def _tiles(html: Column, attribute: str) -> Column:
     """Page text cut at each product tile; chunks whose tile has the attribute."""
     # the leading blank keeps a tile at the very start apart from the text before it
     cut = F.split(F.concat(F.lit(" "), html), _TILE)
-    chunks = F.filter(cut, lambda c, i: i > 0)
+    chunks = F.when(~html.rlike("(?i)product-tile"), F.array().cast("array<string>")).otherwise(F.filter(cut, lambda c, i: i > 0))
     return F.filter(chunks, lambda c: H.attribute(F.regexp_extract(c, r"(?s)^<[^>]*>", 0), attribute) != "")
 
 
@@ -197,22 +202,30 @@ def gtm_items(page: Page) -> Column:
         ),
     )
     tiles = F.filter(tiles, lambda t: t["g"].isNotNull())
-    from_tiles = F.transform(
-        tiles,
-        lambda t: _gtm_item(
+
+    def from_tile(t: Column) -> Column:
+        return _gtm_item(
             t["g"],
             F.coalesce(F.when(t["srcset"] != "", text.best_srcset_url(t["srcset"])), text.unescape(t["src"])),
-            F.when(t["href"] != "", urls.resolve(url, text.unescape(t["href"]))),
+            F.when(t["href"] != "", _once(text.unescape(t["href"]), lambda ref: urls.resolve(url, ref))),
             "gtm_tile",
-        ),
-    )
+        )
+
     raw = F.regexp_extract_all(html, F.lit(r"(?s)data-gtm=(\"[^\"]*\"|'[^']*')"), 1)
     payloads = F.filter(F.transform(raw, lambda r: F.try_parse_json(F.trim(text.unescape(F.substr(r, F.lit(2), F.length(r) - 2))))), lambda v: v.isNotNull())
-    seen = F.transform(tiles, lambda t: _get(t["g"], "$.item_id"))
-    first = F.filter(F.transform(payloads, lambda v: F.try_variant_get(v, "$.ecommerce.items[0]", "variant")), lambda g: g.isNotNull())
-    unseen = F.filter(first, lambda g: (_get(g, "$.item_id") == "") | ~F.array_contains(seen, _get(g, "$.item_id")))
-    extra = F.transform(unseen, lambda g: _gtm_item(g, F.lit(None).cast("string"), F.lit(None).cast("string"), "gtm_text"))
-    return _finish(F.when(F.size(tiles) < F.size(payloads), F.concat(from_tiles, extra)).otherwise(from_tiles))
+
+    def extra(tiles: Column, payloads: Column) -> Column:
+        first = F.filter(F.transform(payloads, lambda v: F.try_variant_get(v, "$.ecommerce.items[0]", "variant")), lambda g: g.isNotNull())
+        unseen = _once(
+            F.transform(tiles, lambda t: _get(t["g"], "$.item_id")),
+            lambda seen: F.filter(first, lambda g: _once(_get(g, "$.item_id"), lambda key: (key == "") | ~F.array_contains(seen, key))),
+        )
+        return F.transform(unseen, lambda g: _gtm_item(g, F.lit(None).cast("string"), F.lit(None).cast("string"), "gtm_text"))
+
+    def items(tiles: Column, payloads: Column) -> Column:
+        return _once(F.transform(tiles, from_tile), lambda own: F.when(F.size(tiles) < F.size(payloads), F.concat(own, extra(tiles, payloads))).otherwise(own))
+
+    return _finish(_once(tiles, lambda t: _once(payloads, lambda p: items(t, p))))
 
 
 def _tile_item(url: Column):
@@ -239,7 +252,7 @@ def _tile_item(url: Column):
             title=title,
             currency=F.lit("USD"),
             image_url=image,
-            product_url=F.when(href != "", urls.resolve(url, href)),
+            product_url=_once(href, lambda ref: F.when(ref != "", urls.resolve(url, ref))),
             sku=H.attribute(F.regexp_extract(c, r"(?s)^<[^>]*>", 0), "data-pid"),
         )
 
@@ -266,7 +279,7 @@ def tile_items(page: Page) -> Column:
     tiles = F.transform(_tiles(html, "data-pid"), _tile_item(url))
     arrays = F.regexp_extract_all(html, F.lit(r"(?s)productImpressions\s*=\s*(\[.*?\]);"), 1)
     products = F.flatten(F.transform(arrays, lambda a: F.coalesce(F.try_variant_get(F.try_parse_json(text.unescape(a)), "$", "array<variant>"), _none())))
-    return _finish(F.when(F.size(tiles) > 0, tiles).otherwise(F.transform(products, _impression)))
+    return _finish(_once(tiles, lambda t: F.when(F.size(t) > 0, t).otherwise(F.transform(products, _impression))))
 
 
 # ---------------------------------------------------------------- hydration data
@@ -558,21 +571,20 @@ def page_api_candidates(pages: DataFrame, limit: int | None = None) -> DataFrame
 def script_inventory(pages: DataFrame) -> DataFrame:
     """One row per script of a page: source, size, findings and score, ranked per page."""
     listed = pages.select("page_id", "url", F.posexplode(H.scripts(F.col("html"))).alias("script_no", "_s"))
-    tag = H.script_tag(F.col("_s"))
-    src = F.trim(text.unescape(H.attribute(tag, "src")))
+    # tag, source and lower-cased body are named often below, so each is a column of its own step
+    listed = listed.withColumn("_tag", H.script_tag(F.col("_s"))).withColumn("_src", F.trim(text.unescape(H.attribute(F.col("_tag"), "src"))))
+    src = F.col("_src")
     staged = listed.select(
         "page_id",
         "script_no",
         F.when(src != "", urls.resolve(F.col("url"), src)).otherwise("").alias("script_url"),
-        H.attribute(tag, "type").alias("type_attr"),
+        H.attribute(F.col("_tag"), "type").alias("type_attr"),
         (src == "").alias("is_inline"),
         F.when(src == "", F.trim(H.script_body(F.col("_s")))).otherwise("").alias("_js"),
     )
     js = F.col("_js")
-    low = F.lower(js)
-    listed_words = F.filter(
-        F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in rules.SCRIPT_KEYWORDS]), lambda k: F.contains(low, k["w"])
-    )
+    words = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in rules.SCRIPT_KEYWORDS])
+    listed_words = _once(F.lower(js), lambda low: F.filter(words, lambda k: F.contains(low, k["w"])))
     by_pattern = [
         F.transform(F.regexp_extract_all(js, F.lit(f"({p})"), 1), _word_in(c)) for p, c in rules.SCRIPT_PATTERNS
     ]
