@@ -16,6 +16,7 @@ from harvestlake.plans import pages_plan as PP
 from harvestlake.plans import records_plan as RP
 from harvestlake.plans import sqlx as S
 from harvestlake.plans.registry import query
+from harvestlake.session import materialize
 
 CC = ("captured_calls",)
 
@@ -120,15 +121,20 @@ def classified(t):
     return P.classify_pages(t("product_pages"))
 
 
-def _attempts(t):
+def seen(t):
+    """The page classes that signals and findings read, classified once and written."""
+    return materialize(classified(t).select("page_id", "url", "fetch_mode", "status_code", "challenge", "challenge_kind", "challenge_severity", "access_action", "js_shell", "quality_score"), "classified")
+
+
+def _attempts(pages):
     n = F.col("page_id")
-    return classified(t).select(
+    return pages.select(
         "url", "fetch_mode", "page_id", "status_code", "challenge", F.col("quality_score").alias("score"), F.when(F.col("fetch_mode") == "http", "1.1").otherwise("2").alias("http_version"),
         F.when(n % 40 < 10, "nginx").otherwise("Nginx-x").alias("server"), F.when(n % 50 == 7, "ray").otherwise("").alias("edge_header"), F.when(F.col("status_code") == 503, "timeout").otherwise("").alias("error"),
     )
 
 
-query("transport_differences", f"WITH {_TR} SELECT * FROM tr", ("product_pages",))(lambda t: SC.transport_differences(_attempts(t)))
+query("transport_differences", f"WITH {_TR} SELECT * FROM tr", ("product_pages",))(lambda t: SC.transport_differences(_attempts(classified(t))))
 
 # ---------------------------------------------------------------- signals, scorecard, risk
 EV = ("product_pages", "captured_calls", "frames")
@@ -159,13 +165,14 @@ sig AS (
     CASE WHEN contains(findings, 'differs') OR contains(findings, 'some_transports') THEN 75 ELSE 25 END, CASE WHEN fetch_mode = 'browser' THEN 'browser' ELSE 'http' END FROM trp WHERE findings <> '')"""
 
 
-def signals(t):
+def signals(t, pages=None):
+    pages = seen(t) if pages is None else pages
     n = F.col("page_id")
     dom = t("product_pages").select(F.concat(F.lit("p"), n).alias("page"), (n % 4).alias("item_count"), (n % 3).alias("fields"), (n % 3 == 2).alias("has_title"), F.lit(False).alias("has_selector"))
-    attempts = _attempts(t)
+    attempts = _attempts(pages)
     per_page = attempts.select(F.concat(F.lit("p"), n).alias("page"), "url", F.col("fetch_mode").alias("selected_mode")).join(SC.transport_differences(attempts), "url")
     return SC.evidence_signals(
-        SC.dom_signals(dom), SC.api_signals(_candidates(t)), SC.script_signals(X.script_inventory(t("product_pages"))), SC.access_signals(classified(t)),
+        SC.dom_signals(dom), SC.api_signals(_candidates(t)), SC.script_signals(X.script_inventory(t("product_pages"))), SC.access_signals(pages),
         SC.frame_signals(O.frame_summary(t("frames"))), SC.transport_signals(per_page),
     )
 
@@ -203,7 +210,14 @@ fin AS (
   UNION ALL SELECT page, 'js_signature_or_encryption_flow', 'crypto_signature', 'high', 'js_crypto_evidence' FROM sig WHERE code IN {_RISK}
   UNION ALL SELECT page, 'websocket_runtime_dependency', 'runtime_protocol', 'medium', 'websocket_summary' FROM sig WHERE code = 'websocket_activity'),
 fd AS (SELECT page, code, source, arg_max(category, w) AS category, arg_max(severity, w) AS severity, max(w) AS w FROM (SELECT *, {_SEVW} AS w FROM fin) x GROUP BY page, code, source)"""
-query("page_findings", f"WITH {_FIND} SELECT page, code, category, severity, source FROM fin", EV)(lambda t: SC.page_findings(classified(t), signals(t)))
+
+
+def _findings(t):
+    pages = seen(t)
+    return SC.page_findings(pages, signals(t, pages))
+
+
+query("page_findings", f"WITH {_FIND} SELECT page, code, category, severity, source FROM fin", EV)(_findings)
 query(
     "page_risk_report",
     f"""WITH {_FIND}, ag AS (SELECT page, count(*) AS findings, least(100, sum(w))::int AS risk_score, bool_or(severity = 'critical') AS c, bool_or(severity = 'high') AS h, bool_or(severity = 'medium') AS m, bool_or(contains(code, 'captcha') OR code = 'access_managed_challenge') AS ho, bool_or(code = 'access_login_required') AS lo,
@@ -212,7 +226,7 @@ lv AS (SELECT *, CASE WHEN c OR risk_score >= 90 THEN 'critical' WHEN h OR risk_
 tp AS (SELECT page, string_agg(code, ',' ORDER BY rn) AS top_findings FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w DESC, code, source) AS rn FROM fd) z WHERE rn <= 3 GROUP BY page)
 SELECT lv.page, findings, risk_score, risk_level, CASE WHEN ho THEN 'manual_handoff' WHEN lo THEN 'authorized_session_review' WHEN li THEN 'backoff' WHEN sg THEN 'deeper_recon' WHEN pr THEN 'browser_render_or_profile_review' WHEN risk_level IN ('high', 'critical') THEN 'manual_handoff' ELSE 'standard_http' END AS action, top_findings FROM lv JOIN tp ON lv.page = tp.page""",
     EV,
-)(lambda t: SC.page_risk_report(SC.page_findings(classified(t), signals(t))))
+)(lambda t: SC.page_risk_report(_findings(t)))
 
 
 # ---------------------------------------------------------------- selectors, rules, evidence
