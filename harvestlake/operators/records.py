@@ -290,9 +290,10 @@ def normalize_api_records(items: DataFrame) -> DataFrame:
         _first(v, "$.position", "$.stat.his_rank", "$.stat.now_rank", skip_zero=True),
         (F.col("item_no") + 1).cast("string"),
     )
-    return items.withColumns(
+    # as rows of a generator titles are made once; a filter on them would be pushed below and make them again
+    titled = items.withColumn("title", F.explode(F.filter(F.array(title), lambda t: t != "")))
+    return titled.withColumns(
         {
-            "title": title,
             "link": F.coalesce(F.try_variant_get(v, "$.link", "string"), _first(v, "$.html_url", "$.url", "$.href", "$.permalink", "$.siteUrl")),
             "image": F.coalesce(
                 F.try_variant_get(v, "$.image", "string"), _first(v, "$.image_src", "$.thumbnail", "$.coverImage.medium", "$.pic")
@@ -310,7 +311,7 @@ def normalize_api_records(items: DataFrame) -> DataFrame:
             ),
             "rank": rank,
         }
-    ).withColumn("item_key", item_dedupe_key(v, F.col("title"))).where(F.coalesce(F.col("title"), F.lit("")) != "").drop("item")
+    ).withColumn("item_key", item_dedupe_key(v, F.col("title"))).drop("item")
 
 
 def _json_path(dotted: str) -> str:
