@@ -139,7 +139,8 @@ def _saved(t):
     path = fresh_path(t.spark, "tasks")
     items = t("task_items").join(t("jobs").select("task_id", "status"), "task_id").select("task_id", "item_index", "title", "link", "l_partkey", "l_suppkey", "status")
     sinks.save_task_result(t.spark, path, items)
-    again = items.where("status = 'failed'").select("task_id", "item_index", F.upper("title").alias("title"), F.lit("").alias("link"), "l_partkey", "l_suppkey", F.lit("retried").alias("status"))
+    # the failed ones are read from the saved table, so the items are not joined anew
+    again = sinks.read_tasks(t.spark, path, items.schema).where("status = 'failed'").select("task_id", "item_index", F.upper("title").alias("title"), F.lit("").alias("link"), "l_partkey", "l_suppkey", F.lit("retried").alias("status"))
     sinks.save_task_result(t.spark, path, again)
     return sinks.read_tasks(t.spark, path, items.schema)
 
