@@ -94,14 +94,17 @@ def _log(x: float) -> float:
 def posteriors(docs: DataFrame, model: DataFrame, log_prior: Mapping[str, float]) -> DataFrame:
     """``doc_id``, ``_h``, ``copies``, ``n_tokens`` and ``p``, the posterior in the order of ``log_prior``.
 
-    Words meet the bounded model in a broadcast join and are summed up per document before the shuffle.
+    Words meet the bounded model in a broadcast join and are summed up per document before the shuffle.  A document's
+    first row carries its number of words; of the others only words that are in the model have anything to add.
     """
     k = len(log_prior)
-    each = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.posexplode(words(F.col("text"))).alias("_at", "_word"))
-    scored = each.select("doc_id", "_h", "_at", term(F.col("_word")).alias("term")).join(F.broadcast(model), "term", "left")
-    sums = scored.groupBy("doc_id", "_h").agg(
-        F.count("term").alias("_words"),
-        F.sum((F.col("_at") == 0).cast("bigint")).alias("copies"),
+    found = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.array_remove(words(F.col("text")), "").alias("_found"))
+    each = found.select("doc_id", "_h", F.size("_found").alias("_size"), F.posexplode_outer("_found").alias("_at", "_word"))
+    size = F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_size")).alias("_size")
+    scored = each.select("doc_id", "_h", size, term(F.col("_word")).alias("term")).join(F.broadcast(model), "term", "left")
+    sums = scored.where("_size IS NOT NULL OR w_0 IS NOT NULL").groupBy("doc_id", "_h").agg(
+        F.sum("_size").alias("_words"),
+        F.count("_size").alias("copies"),
         *[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(k)],
     )
     # long texts repeat their evidence, so it counts with the square root of their length

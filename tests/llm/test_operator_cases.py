@@ -80,3 +80,15 @@ def test_conversations(spark):
     assert by_row(quotes.link_quotations(clash(talk).drop("position"))) == by_row(linked)
     assert {(r.conv_id, r.turn): r.n_linked for r in linked.collect()}[1, 1] == 1
     assert quotes.link_quotations(talk.limit(0)).count() == 0
+
+
+def test_op1_sums_up_only_words_of_the_model(spark):
+    """Words outside the model are no rows of the aggregate; empty, null and repeated rows keep their counts."""
+    docs = spark.createDataFrame([(1, "aa  bb\tcc bb"), (1, "aa  bb\tcc bb"), (2, ""), (3, None), (4, "   "), (None, "cc cc"), (5, "dd")], "doc_id long, text string")
+    model = spark.createDataFrame([("bb", 1.0, -1.0)], "term string, w_0 double, w_1 double")
+    out = mixing.posteriors(docs, model, {"a": -0.5, "b": -0.9})
+    got = {r["doc_id"]: (r["copies"], r["n_tokens"], r["p"]) for r in out.collect()}
+    even = [0.599, 0.401]
+    assert got == {1: (2, 4, [0.988, 0.012]), 2: (1, 0, even), 3: (1, 0, even), 4: (1, 0, even), 5: (1, 1, even), None: (1, 2, even)}
+    aggregates = out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+    assert "isnotnull" in aggregates.split("Join")[0]
