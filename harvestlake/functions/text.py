@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -10,29 +11,29 @@ from pyspark.sql import functions as F
 from harvestlake import rules
 from harvestlake.functions import urls
 
+
 # ---------------------------------------------------------------- prices
 _NUMBER = r"(-?\d+(?:[.,]\d{3})*(?:[.,]\d{1,2})?|-?\d+)"
+_DASHES = "-–—~"
 _RANGE = r"(?s)^(.*?)(\d[\d.,]*)\s*[-–—~]\s*(\d[\d.,]*)"
-_TOKENS = "(?iu)" + "|".join(re.escape(t) for t in rules.CURRENCY_TOKENS)
+# the look ahead passes over characters that begin no token
+_TOKENS = f"(?iu)(?=[{''.join(sorted({re.escape(t[0].lower()) for t in rules.CURRENCY_TOKENS}))}])(?:{'|'.join(re.escape(t) for t in rules.CURRENCY_TOKENS)})"
 
 
 def _as_number(x: Column) -> Column:
-    """One price-like number as a double, whichever separators it uses."""
+    """One match of ``_NUMBER`` as a double, whichever separators it uses.
+
+    A match ends in a digit and only its last group may be shorter than three digits, so plain text functions tell the cases apart.
+    """
     comma, dot = F.contains(x, F.lit(",")), F.contains(x, F.lit("."))
     no_dot = F.replace(x, F.lit("."), F.lit(""))
     no_comma = F.replace(x, F.lit(","), F.lit(""))
-    decimal_comma = x.rlike(r",[^.,]*$")
-    short_tail = r"^(.*),(\d{1,2})$"
+    tail = F.substring_index(x, ",", -1)
+    head = F.substr(no_comma, F.lit(1), F.length(no_comma) - F.length(tail))
     text = (
-        F.when(comma & dot, F.when(decimal_comma, F.replace(no_dot, F.lit(","), F.lit("."))).otherwise(no_comma))
-        .when(
-            comma,
-            F.when(
-                x.rlike(short_tail),
-                F.concat(F.replace(F.regexp_extract(x, short_tail, 1), F.lit(","), F.lit("")), F.lit("."), F.regexp_extract(x, short_tail, 2)),
-            ).otherwise(no_comma),
-        )
-        .when(dot & (x.rlike(r"\..*\.") | x.rlike(r"\.\d{3}$")), no_dot)
+        F.when(comma & dot, F.when(F.contains(tail, F.lit(".")), no_comma).otherwise(F.replace(no_dot, F.lit(","), F.lit("."))))
+        .when(comma, F.when(F.length(tail) <= 2, F.concat(head, F.lit("."), tail)).otherwise(no_comma))
+        .when(dot & ((F.length(no_dot) < F.length(x) - 1) | (F.substring(x, -4, 1) == ".")), no_dot)
         .otherwise(x)
     )
     return text.try_cast("double")
@@ -40,8 +41,13 @@ def _as_number(x: Column) -> Column:
 
 def _price_numbers(text: Column) -> Column:
     plain = F.regexp_replace(text, _TOKENS, " ")
-    split = F.regexp_replace(plain, _RANGE, "$1$2 $3")
-    numbers = F.transform(F.regexp_extract_all(split, F.lit(_NUMBER), 1), _as_number)
+
+    def split(t: Column) -> Column:
+        dash = functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(d)) for d in _DASHES])
+        return F.when(dash, F.regexp_replace(t, _RANGE, "$1$2 $3")).otherwise(t)
+
+    # as the only element of an array the text is made once; without a dash there is no range to look for
+    numbers = F.transform(F.regexp_extract_all(F.transform(F.array(plain), split)[0], F.lit(_NUMBER), 1), _as_number)
     return F.filter(numbers, lambda n: n.isNotNull())
 
 

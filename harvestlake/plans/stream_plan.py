@@ -10,7 +10,7 @@ from harvestlake.operators import records as R
 from harvestlake.plans import oplog_plan as OP
 from harvestlake.plans import records_plan as RP
 from harvestlake.plans.registry import query
-from harvestlake.session import fresh_path
+from harvestlake.session import fresh_path, materialize
 from harvestlake.sources import sinks
 from harvestlake.streaming import streams as ST
 
@@ -95,7 +95,8 @@ _EXPORT_SCHEMA = "name string, price double, currency string, images string, l1
 
 
 def _exported(t):
-    rows = RP.lean(t)
+    # the offers are joined and their prices read once, for all formats
+    rows = materialize(RP.lean(t).select("title", "highest_price", "currency", "image_urls", "category"), "export-rows")
     out = None
     for fmt in ("json", "csv", "parquet"):
         path = fresh_path(t.spark, f"export-{fmt}")
