@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from harvestlake.llm import decontam, jaccard, ledger, mixing, repeats
-from harvestlake.llm.common import stored, table
+from harvestlake.llm.common import bound_batches, stored, table
 
 #: Shares of all tokens that the mixture is to have; junk has none, the rules of the first stage reject it.
 TARGETS = {"good": 0.98, "toxic": 0.02}
@@ -24,11 +24,13 @@ PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule policy rejects go."""
+    bound_batches(spark)
     return ledger.reject(docs, "v1")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles at 0.8 connect, one stays."""
+    bound_batches(spark)
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
@@ -38,11 +40,13 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A passage is found by any of its strings of 200 bytes.  In the given documents passages of over 50 words are
     shared in lengths from about 230 bytes on; a third or more are shorter than the 400 bytes that the operator's query asks for.
     """
+    bound_batches(spark)
     return repeats.remove_repeats(docs, length=PASSAGE_BYTES, n_chars="n_chars", min_words=PASSAGE_WORDS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bound_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

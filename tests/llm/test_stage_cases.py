@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harvestlake.llm import repeats
+from harvestlake.llm.common import BATCH_BYTES, BATCH_SETTING
 from harvestlake.session import fresh_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -80,3 +81,29 @@ def test_runs_are_counted_in_words(spark):
     left = {r["doc_id"]: r for r in repeats.remove_repeats(docs, 100, n_chars="n_chars", min_words=50).collect()}
     assert [long in left[i]["text"] for i in (0, 2)] == [False, False] and left[0]["n_chars"] == len(left[0]["text"])
     assert [left[i]["text"] for i in (1, 3, 4, 5)] == [texts[i] for i in (1, 3, 4, 5)]
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(4000).alias("n_chars"))
+    before = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for own, most in ((None, BATCH_BYTES), ("100000", 100_000)):
+            spark.conf.unset(BATCH_SETTING) if own is None else spark.conf.set(BATCH_SETTING, own)
+            assert corpus_pipeline.quality_rules(spark, docs, "").count() == 0  # repeated words only
+            assert 0 < max(r.n for r in docs.select("text").mapInArrow(sizes, "n bigint").collect()) <= most + 8192
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+
+
+def test_repeats_are_cut_by_one_python_step(spark):
+    work = spark.createDataFrame([(b"a", "\u00e4".encode() * 300)], "h binary, raw binary")
+    spans = spark.createDataFrame([(b"a", 1, 10)], "h binary, lo int, hi int")
+    cut = repeats._cut_texts(work, spans, 100, decode=True).where("n_removed > 0").select("h", "kept")
+    assert cut._jdf.queryExecution().executedPlan().initialPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.h, r.kept) for r in cut.collect()] == [(b"a", "\u00e4" * (300 - 55))]
