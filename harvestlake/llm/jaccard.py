@@ -273,8 +273,13 @@ def _grouped(near: DataFrame) -> DataFrame:
     return own.select("grp", "sid", "n", "delta").unionByName(firsts)
 
 
-def _derived(members: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links within groups from the differences alone; then components of these and ``links``.
+def _stars(roots: DataFrame) -> DataFrame:
+    """Links that stand for known components: each node with its root."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _derived(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Components of ``links`` and of the links within groups, which come from the differences alone.
 
     With ``d`` the length of a difference and ``f = (100 + p) d - (100 - p) n``, two members link exactly if they share
     ``(f(x) + f(y)) / 2 (100 + p)`` edits.  The member with the least ``f`` links with all that need share none.  Of
@@ -306,8 +311,7 @@ def _derived(members: DataFrame, links: DataFrame, percent: int) -> tuple[DataFr
     each = each.withColumn("first", F.min(F.struct("f", "sid")).over(W.partitionBy("grp", "e")))
     each = stored(each, "edits")
     tried = each.where("f + f0 > 0").select("grp", F.col("sid").alias("a"), F.col("first.sid").alias("b")).where("a <> b")
-    some = stored(sure.unionByName(linked(tried)), "derived")
-    roots = stored(components(links.unionByName(some)), "roots")
+    roots = stored(components(links.unionByName(sure).unionByName(linked(tried))), "roots")
 
     # edits that one member has alone are the rarest: they are not in ``each``, but they count as places
     place = F.row_number().over(W.partitionBy("grp", "sid").orderBy("k", "e")) - 1
@@ -320,10 +324,10 @@ def _derived(members: DataFrame, links: DataFrame, percent: int) -> tuple[DataFr
     right = where_.where(F.col("at") < F.col("d") - F.floor((F.col("f") - F.col("f0")) / (2 * unit))).select("grp", "e", *[F.col(c).alias(f"{c}_b") for c in ("sid", "f", "d", "at", "root")])
     needed = (F.col("f_a") + F.col("f_b")) / (2 * unit)
     meet = left.join(right, ["grp", "e"]).where((F.col("root_a") != F.col("root_b")) & (F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= needed))
-    more = stored(some.unionByName(linked(meet.select("grp", F.col("sid_a").alias("a"), F.col("sid_b").alias("b")))), "derived")
-    found = stored(components(links.unionByName(more)), "roots")
-    discard(rows, least, each, some, roots, where_)
-    return more, found
+    more = linked(meet.select("grp", F.col("sid_a").alias("a"), F.col("sid_b").alias("b")))
+    found = stored(components(_stars(roots).unionByName(more)), "roots")
+    discard(rows, least, each, roots, where_)
+    return found
 
 
 def _most(n: str, pos: str, percent: int):
@@ -347,6 +351,7 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent:
     """
     placed = lists.select("tok", "pos", "sid", "n").join(groups, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("grp", F.coalesce("grp", "sid"))
     mixed = placed.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("grp").alias("g"), F.max("grp").alias("h")).where("lo <> hi AND g <> h").select("tok")
+    mixed = stored(mixed, "mixed-lists")
     placed = placed.join(mixed, "tok", "left_semi")
     main = placed.groupBy("tok", "grp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "grp")).alias("m")).where("m.k > 1").select("tok", F.col("m.grp").alias("main"))
     words = [f"p{k}" for k in range(PARITY)]
@@ -371,7 +376,7 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, head: DataFrame, percent:
         met = x.join(y, ["tok", "block"]).where(order & apart & fits & like).select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
     found = stored(pairs.distinct(), "cross")
-    discard(rows)
+    discard(rows, mixed)
     return found
 
 
@@ -388,16 +393,15 @@ def link_sets(docs: DataFrame, width: int = 3, percent: int = 90, text: str = "t
     links = stored(near.where(allowed).select("a", "b"), "links-1")
     members = stored(_grouped(near), "groups")
     discard(near)
-    derived, roots = _derived(members, links, percent)
-    links = links.unionByName(derived)
+    roots = _derived(members, links, percent)
     of = members.groupBy("sid").agg(F.min("grp").alias("grp"))
-    groups = of.join(roots.withColumnRenamed("node", "sid"), "sid", "full")
+    groups = stored(of.join(roots.withColumnRenamed("node", "sid"), "sid", "full"), "placed")
     # all pairs with the first of a list are decided, so most lists, those of two, are done with
     cross = _cross_pairs(lists.where("k > 2 AND sid <> a"), groups, head, percent)
-    discard(lists, members)
+    discard(lists, members, groups)
     found = _near(cross, head, docs, width, percent, text)
     discard(cross)
-    last = components(links.unionByName(found.select("a", "b")))
+    last = components(_stars(roots).unionByName(found.select("a", "b")))
     rows = head.select("doc_id", "th", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
     placed = rows.join(last.select(F.col("node").alias("sid"), "root"), "sid", "left")
     return placed.select("doc_id", "th", "n_shingles", F.coalesce("root", "sid").alias("root"))

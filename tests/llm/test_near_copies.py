@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harvestlake.llm import jaccard
+from harvestlake.llm import common, jaccard
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -99,3 +99,20 @@ def test_names_may_clash(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, c in enumerate(want) if c == i or not texts[i]]
     assert {r["th"] for r in kept.collect()} == {"th"}
+
+
+@pytest.mark.parametrize(("links", "rounds"), [([(i, 1) for i in range(2, 40)], 1), ([(9, 9)], 1), ([(i, i + 1) for i in range(1, 40)], None)])
+def test_steps_of_components_are_planned_short(spark, monkeypatch, links, rounds):
+    """The driver plans each step: no plan reads a table more than twice, and links that are stars take one round."""
+    steps, write = [], common.stored
+
+    def spy(df, label):
+        steps.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")))
+        return write(df, label)
+
+    monkeypatch.setattr(common, "stored", spy)
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 1 for a, b in links if a != b for i in (a, b)}
+    assert max(reads for _, reads in steps) <= 2
+    if rounds:
+        assert [label for label, _ in steps].count("links") == 1 + rounds
