@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from harvestlake import rules
 from harvestlake.functions import html as H
 from harvestlake.functions import text, urls
+from harvestlake.session import materialize
 
 _STRINGS = ("title", "currency", "color", "size", "description", "image_url", "product_url", "category_level_1", "category_level_2", "brand", "sku", "evidence")
 
@@ -645,7 +646,8 @@ def list_detail_variant_tasks(list_pages: DataFrame, detail_pages: DataFrame, va
     """Detail tasks found on list pages and variant tasks found on their detail pages.
 
     A task is kept once per (kind, url) with its smallest parent; both dedupes are
-    aggregations, so repeated targets are combined before the shuffle.
+    aggregations, so repeated targets are combined before the shuffle.  Detail tasks are
+    written once for both uses.
     """
 
     def anchors(html: Column, url: Column) -> Column:
@@ -667,10 +669,12 @@ def list_detail_variant_tasks(list_pages: DataFrame, detail_pages: DataFrame, va
         .groupBy("url")
         .agg(F.min("parent_url").alias("parent_url"))
     )
+    details = materialize(details, "details")
     bodies = detail_pages.select(F.col("detail_url").alias("url"), F.inline(anchors(F.col("html"), F.col("detail_url"))).alias("v_url", "v_cls", "v_color", "v_href"))
     variants = (
         bodies.where((F.col("v_href") != "") & F.contains("v_cls", F.lit(variant_class)))
-        .join(details.select("url"), "url", "left_semi")
+        # estimates know neither the links of a page nor how well addresses compress, so no side is sent to the driver
+        .join(details.select("url").hint("merge"), "url", "left_semi")
         .groupBy(F.col("v_url"))
         .agg(F.min("url").alias("parent_url"), F.max("v_color").alias("color"))
     )
